@@ -6,10 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear_written() -> None:
+    """Delete the tables that cut() wrote; called when Python ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
+            return
 
 
 def build_session(app: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,6 +47,21 @@ def build_session(app: str = "lexloom", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each application."""
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="lexloom-code-"))
+    atexit.register(shutil.rmtree, out, True)
+    with zipfile.ZipFile(out / "lexloom.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(out / "lexloom.zip"))
+    _SHIPPED.add(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or an own one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,4 +85,5 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
