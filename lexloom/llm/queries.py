@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import bpe, canonical, copies, packing
+from . import bpe, canonical, copies, packing, scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,19 @@ def p9_packing(spark: SparkSession, sf: str) -> DataFrame:
     sized = table(spark, sf, "documents").select("doc_id", bpe.token_count(spark, "text").alias("tokens"))
     packed = packing.pack_each(sized, "doc_id", "tokens", limits)
     return packed.select("limit_id", "capacity", F.col("container").alias("container_id"), F.col("id").alias("doc_id"), "part", "start", "size")
+
+
+def _noise(spark: SparkSession, sf: str):
+    return scans.find_noise(
+        table(spark, sf, "runeberg_pages").select(F.col("page_id").alias("row_id"), F.col("page").alias("page_no"), "text"),
+        table(spark, sf, "ocr_words"),
+        table(spark, sf, "print_vocab"),
+        table(spark, sf, "lexeme_slots").select(F.col("lemma").alias("word")),
+    )
+
+
+@_query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Furniture, broken words and misread words of the pages and their second readings."""
+    _, items, corrections, _ = _noise(spark, sf)
+    return scans.noise_rows(items, corrections)
