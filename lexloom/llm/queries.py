@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..tables import table
-from . import bpe, canonical, copies, packing, scans
+from . import bpe, canonical, copies, packing, residue, scans, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +108,43 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Furniture, broken words and misread words of the pages and their second readings."""
     _, items, corrections, _ = _noise(spark, sf)
     return scans.noise_rows(items, corrections)
+
+
+def _truncated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf, "runeberg_pages").select(F.col("page_id").alias("row_id"), F.col("page").alias("page_no"), "text", "source")
+    vocabulary = frozenset(r.word.lower() for r in table(spark, sf, "print_vocab").filter("word is not null").collect())
+    model = scans.fit_lines(cut(scans.page_lines(pages, "runeberg_pages"), "lines"), vocabulary)
+    origin = lambda name: F.lit(name).alias("origin")
+    articles = table(spark, sf, "match_candidates").select(origin("match_candidates"), F.col("candidate_id").alias("row_id"), F.col("article_text").alias("text"), F.col("article_text").alias("tail"))
+    tails = truncation.page_tails(pages, model).select(origin("runeberg_pages"), "row_id", "text", "tail").unionByName(articles)
+    # a reference names the first word of a headword of several
+    headwords = table(spark, sf, "lexeme_slots").select(F.explode(F.array("lemma", F.split("lemma", " ")[0])).alias("headword"))
+    found = truncation.find_truncated(tails, headwords, truncation.abbreviations(tails, "text"))
+    sources = pages.select(origin("runeberg_pages"), "row_id", "source", "text").unionByName(
+        table(spark, sf, "match_candidates").select(origin("match_candidates"), F.col("candidate_id").alias("row_id"), "source", F.col("article_text").alias("text"))
+    )
+    return found, sources
+
+
+@_query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and articles whose text stops before its end."""
+    return _truncated(spark, sf)[0].select("origin", "row_id")
+
+
+@_query
+def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    found, sources = _truncated(spark, sf)
+    marked = sources.filter("text is not null").join(found.select("origin", "row_id", F.lit(1).alias("is_cut")), ["origin", "row_id"], "left")
+    return marked.groupBy("origin", "source").agg(
+        F.count(F.lit(1)).alias("texts"), F.count("is_cut").alias("cut_texts"), F.round(F.count("is_cut") / F.count(F.lit(1)), 4).alias("share")
+    )
+
+
+@_query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with residue in the place of content."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    model = residue.fit_residue(documents, "text")
+    return documents.filter(residue.has_residue(documents, "text", model)).select("doc_id")
