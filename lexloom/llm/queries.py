@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..tables import table
-from . import bpe, canonical, copies, packing, residue, scans, truncation
+from . import bpe, canonical, copies, matching, packing, residue, scans, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +148,19 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
     model = residue.fit_residue(documents, "text")
     return documents.filter(residue.has_residue(documents, "text", model)).select("doc_id")
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_entities(table(spark, sf, "lexeme_slots"), table(spark, sf, "slot_forms"), table(spark, sf, "saldo_analyses"))
+
+
+@_query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of the other lexicon and the lexemes they describe."""
+    return _matches(spark, sf).select("lexeme_id", "entry_id")
+
+
+@_query
+def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pairs, each with its confidence."""
+    return _matches(spark, sf)
