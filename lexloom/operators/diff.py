@@ -58,3 +58,49 @@ def cell_diff(
         F.array(F.when(F.col("side") > 0, F.lit(only_left)).otherwise(F.lit(only_right)))
     )
     return per_key.select(F.col("key").alias(key), F.explode(named).alias("difference"))
+
+
+def keyed_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, change): `removed`, `added` or `changed`, for rows that a unique key pairs."""
+    a = left.select(F.col(key), F.struct(*columns).alias("__a"))
+    b = right.select(F.col(key), F.struct(*columns).alias("__b"))
+    both = a.join(b, key, "full")
+    change = F.when(F.col("__b").isNull(), "removed").when(F.col("__a").isNull(), "added").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
+    return both.select(key, change.alias("change")).filter("change is not null")
+
+
+def positional_diff(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], value: str) -> DataFrame:
+    """(pos, left_value, right_value) where the rows at a position differ; the shorter side has nulls at the end.
+
+    Positions come from a running count over range-partitioned rows, not from one sorted task.
+    """
+    from .ordered import running_sum
+
+    a = running_sum(left, [], left_order, F.lit(1), "pos").select("pos", F.col(value).alias("left_value"), F.lit(True).alias("__l"))
+    b = running_sum(right, [], right_order, F.lit(1), "pos").select("pos", F.col(value).alias("right_value"), F.lit(True).alias("__r"))
+    j = a.join(b, "pos", "full")
+    return j.filter(F.col("__l").isNull() | F.col("__r").isNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))).select("pos", "left_value", "right_value")
+
+
+def two_sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): `only_left`, `only_right` or `shared` for the distinct non-null keys of two tables."""
+    signs = left.select(F.col(key), F.lit(1).alias("s")).unionByName(right.select(F.col(key), F.lit(2).alias("s"))).filter(F.col(key).isNotNull())
+    g = signs.groupBy(key).agg(F.bit_or("s").alias("s"))
+    return g.select(key, F.when(F.col("s") == 1, "only_left").when(F.col("s") == 2, "only_right").otherwise("shared").alias("side"))
+
+
+def set_status(generated, other, supported=None):
+    """Status of a set of forms against another: unsupported, exact, exact_case, subset or mismatch."""
+    g, o = F.array_sort(F.array_distinct(generated)), F.array_sort(F.array_distinct(other))
+    low = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: F.lower(x))))
+    status = (
+        F.when(g == o, "exact").when(low(g) == low(o), "exact_case")
+        .when(F.size(F.array_except(g, o)) == 0, "subset").otherwise("mismatch")
+    )
+    return status if supported is None else F.when(~supported, "unsupported").otherwise(status)
+
+
+def change_status(old, new):
+    """How a set changed: unchanged, more, fewer or changed."""
+    lost, won = F.size(F.array_except(old, new)), F.size(F.array_except(new, old))
+    return F.when((lost == 0) & (won == 0), "unchanged").when(lost == 0, "more").when(won == 0, "fewer").otherwise("changed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cleaning
+from .plans import cleaning, lexical
 
-QUERIES = {**cleaning.QUERIES}
-SQL = {**cleaning.SQL}
+QUERIES = {**lexical.QUERIES, **cleaning.QUERIES}
+SQL = {**lexical.SQL, **cleaning.SQL}
