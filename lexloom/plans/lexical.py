@@ -94,11 +94,10 @@ def ordered_rule_classify(spark, sf):
 
 @_query("""
 SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS plain FROM documents WHERE contains(text, '</') AND NOT contains(text, '<script')""")
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS plain FROM documents""")
 def html_plain(spark, sf):
-    """Documents with tags as plain text."""
-    d = table(spark, sf, "documents").filter(F.col("text").contains("</") & ~F.col("text").contains("<script"))
-    return d.select("doc_id", strip_html("text").alias("plain"))
+    """Documents without their tags."""
+    return table(spark, sf, "documents").select("doc_id", strip_html("text").alias("plain"))
 
 
 @_query("""
@@ -271,15 +270,14 @@ def compound_split(spark, sf):
 
 
 @_query("""
-WITH n AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_quantity > 45),
-o AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_quantity > 45), z AS (SELECT c, count(*) AS n FROM n GROUP BY c)
-SELECT m.c, m.k FROM (SELECT n.c, o.k, count(*) AS met FROM n JOIN o USING (s) GROUP BY 1, 2) m JOIN z ON z.c = m.c AND z.n = m.met""")
+WITH n AS (SELECT DISTINCT lexeme_id, written_form AS f FROM slot_forms WHERE written_form IS NOT NULL), z AS (SELECT lexeme_id, count(*) AS n FROM n GROUP BY 1),
+o AS (SELECT DISTINCT entry_id, f.form AS f FROM (SELECT entry_id, unnest(word_forms) AS f FROM saldo_analyses) WHERE f.form IS NOT NULL)
+SELECT lexeme_id, entry_id FROM (SELECT n.lexeme_id, o.entry_id, count(*) AS met FROM n JOIN o USING (f) GROUP BY 1, 2) JOIN z USING (lexeme_id) WHERE met = n""")
 def subset_explains(spark, sf):
-    """Orders whose suppliers include all those of a customer's urgent returns."""
-    li = table(spark, sf, "lineitem").filter("l_quantity > 45")
-    o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("c"))
-    n = li.filter("l_returnflag = 'R'").join(o, li.l_orderkey == o.o_orderkey).select("c", F.col("l_suppkey").alias("s"))
-    return match.explained_by(n, li.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")), "c", "k", "s")
+    """Entries whose forms include all those of a lexeme."""
+    w = table(spark, sf, "slot_forms").select("lexeme_id", F.col("written_form").alias("f"))
+    o = table(spark, sf, "saldo_analyses").select("entry_id", F.explode("word_forms").alias("x")).select("entry_id", F.col("x.form").alias("f"))
+    return match.explained_by(w, o, "lexeme_id", "entry_id", "f")
 
 
 @_query("""
@@ -363,12 +361,11 @@ def rank_weighted_topk(spark, sf):
 
 
 @_query("""
-WITH p AS (SELECT a.s_nationkey AS n, a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 2) AS gap FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
- WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000)
+WITH p AS (SELECT a.s_nationkey AS n, a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 2) AS gap FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
 SELECT n, a, b, gap, row_number() OVER (PARTITION BY n ORDER BY gap, a, b) AS rank FROM p QUALIFY rank <= 6""")
 def group_pairs_top6(spark, sf):
     """The six closest pairs of suppliers of a nation: neighbours in balance order, ever further, as far as needed."""
-    s = table(spark, sf, "supplier").filter("s_acctbal > 5000").select("s_nationkey", "s_suppkey", "s_acctbal")
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
     # among the six closest pairs no two members are more than six places apart in the sorted order
     out, far = None, s.withColumns({"o_id": F.col("s_suppkey"), "o_bal": F.col("s_acctbal")})
     for _ in range(6):
@@ -382,24 +379,22 @@ def group_pairs_top6(spark, sf):
 
 
 @_query("""
-WITH a AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0),
-b AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0)
-SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS change
-FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""")
+WITH a AS (SELECT DISTINCT form_key, written_form, msd FROM generated_word_forms WHERE form_key IS NOT NULL), b AS (SELECT DISTINCT form_key, written_form, msd FROM saldo_word_forms WHERE form_key IS NOT NULL)
+SELECT coalesce(a.form_key, b.form_key) AS form_key, CASE WHEN b.form_key IS NULL THEN 'removed' WHEN a.form_key IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.form_key = b.form_key WHERE a.form_key IS NULL OR b.form_key IS NULL OR a.written_form IS DISTINCT FROM b.written_form OR a.msd IS DISTINCT FROM b.msd""")
 def keyed_diff(spark, sf):
-    """Orders against an altered copy of them."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    b = o.filter("o_orderkey % 11 <> 0").withColumn("o_orderpriority", F.expr("case when o_orderkey % 5 = 0 then 'X' else o_orderpriority end"))
-    return diff.keyed_diff(o.filter("o_orderkey % 7 <> 0"), b, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    """Keyed forms removed, added or changed between the two systems."""
+    rows = lambda t: table(spark, sf, t).filter("form_key is not null").select("form_key", "written_form", "msd").distinct()
+    return diff.keyed_diff(rows("generated_word_forms"), rows("saldo_word_forms"), "form_key", ["written_form", "msd"])
 
 
 @_query("""
-WITH a AS (SELECT row_number() OVER (ORDER BY word_no) AS pos, word FROM print_vocab), b AS (SELECT row_number() OVER (ORDER BY word) AS pos, word FROM print_vocab WHERE word_no % 97 <> 0)
-SELECT coalesce(a.pos, b.pos) AS pos, a.word AS left_value, b.word AS right_value FROM a FULL JOIN b ON a.pos = b.pos WHERE a.word IS DISTINCT FROM b.word""")
+WITH a AS (SELECT row_number() OVER (ORDER BY word_no) AS pos, word FROM print_vocab), b AS (SELECT row_number() OVER (ORDER BY head, head_id) AS pos, head AS word FROM head_words)
+SELECT coalesce(a.pos, b.pos) AS pos, a.word AS left_value, b.word AS right_value FROM a FULL JOIN b ON a.pos = b.pos WHERE a.pos IS NULL OR b.pos IS NULL OR a.word IS DISTINCT FROM b.word""")
 def positional_diff(spark, sf):
-    """Two orders of one list, place by place."""
-    v = table(spark, sf, "print_vocab")
-    return diff.positional_diff(v, v.filter("word_no % 97 <> 0"), ["word_no"], ["word"], "word")
+    """Two lists place by place."""
+    b = table(spark, sf, "head_words").select(F.col("head").alias("word"), "head_id")
+    return diff.positional_diff(table(spark, sf, "print_vocab"), b, ["word_no"], ["word", "head_id"], "word")
 
 
 @_query("""

@@ -91,7 +91,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def strip_html(c):
     """Text of a page of HTML: scripts and tags out, common entities back, white space collapsed."""
-    x = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?is)<(script|style)\b.*?</\1>", " ")
+    x = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?is)<(script|style)\b.*?</(script|style)>", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(a), F.lit(b))
