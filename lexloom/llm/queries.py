@@ -110,6 +110,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.noise_rows(items, corrections)
 
 
+@_query
+def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as the running text of its articles."""
+    _, items, corrections, _ = _noise(spark, sf)
+    pages = table(spark, sf, "runeberg_pages").select(F.col("page_id").alias("row_id"), "text")
+    return scans.repaired_pages(pages, "runeberg_pages", items, corrections).withColumnRenamed("row_id", "page_id")
+
+
 def _truncated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, sf, "runeberg_pages").select(F.col("page_id").alias("row_id"), F.col("page").alias("page_no"), "text", "source")
     vocabulary = frozenset(r.word.lower() for r in table(spark, sf, "print_vocab").filter("word is not null").collect())
