@@ -34,7 +34,7 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     blocked = df.withColumn("__block", F.pmod(F.xxhash64(*df.columns), F.lit(BLOCKS)))
     some = blocked.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(*order))).filter(F.col("__r") <= n)
     out = some.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__r") <= n)
-    return out.select(*df.columns, F.col("__r").alias("rank"))
+    return out.select(*df.columns, F.col("__r").cast("bigint").alias("rank"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, id_col: str, n: int, seed: int = 1) -> DataFrame:

@@ -452,7 +452,7 @@ def crosstab_totals(spark, sf):
     return grouping.crosstab_with_totals(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@_query("SELECT source, count(*) AS total, sum(CAST(text IS NOT NULL AND length(text) > 100 AS INT)) AS covered, round(100.0 * sum(CAST(text IS NOT NULL AND length(text) > 100 AS INT)) / count(*), 2) AS percent FROM documents GROUP BY source")
+@_query("SELECT source, count(*) AS total, CAST(sum(CAST(text IS NOT NULL AND length(text) > 100 AS INT)) AS BIGINT) AS covered, round(100.0 * sum(CAST(text IS NOT NULL AND length(text) > 100 AS INT)) / count(*), 2) AS percent FROM documents GROUP BY source")
 def coverage_ratio(spark, sf):
     """The share of documents with enough text, by source."""
     return grouping.coverage(table(spark, sf, "documents"), ["source"], F.col("text").isNotNull() & (F.length("text") > 100))
@@ -504,7 +504,7 @@ def fixed_strata_first_n(spark, sf):
 
 
 @_query("""
-WITH s AS (SELECT user_id, event_type, sum(CAST(round(value * 100) AS BIGINT)) AS w FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2), m AS (SELECT user_id, max(w) AS w FROM s GROUP BY 1)
+WITH s AS (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS w FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2), m AS (SELECT user_id, max(w) AS w FROM s GROUP BY 1)
 SELECT user_id, w, min(event_type) AS event_type, count(*) AS tied FROM s JOIN m USING (user_id, w) GROUP BY 1, 2""")
 def vote_argmax(spark, sf):
     """The type of event with the largest summed value of each user."""
