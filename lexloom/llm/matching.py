@@ -2,9 +2,9 @@
 
 Records, their attributes and the character grams of their names form a graph; random walks
 over a bounded sample of it train skip-gram vectors of grams. A name's vector is the sum of
-its grams' vectors; several tables hash it against random hyperplanes, one the whole name,
-the others the name without its first, middle or last third, so that one error anywhere
-leaves a table in which equal names meet. Candidate names are reranked exactly by edit
+its grams' vectors. Names meet by exact keys, the whole name and the name without each one of
+its letters: names that are one error apart are equal without the letter at fault, so they
+always meet. Candidate names are reranked exactly by edit
 distance and the evidence of inflected forms, and cosines are calibrated on the pairs whose
 forms tell the truth.
 """
@@ -32,7 +32,7 @@ CLASS_OF_MARK = {"sg": "NOUN", "pl": "NOUN", "pos": "ADJ", "komp": "ADJ", "super
 #: Records whose walks train the gram vectors, at most.
 FIT_RECORDS = 10_000
 GRAM_BUCKETS = 1 << 14
-SIZE, PLANES, TABLES, SEED = 24, 62, 4, 7
+SIZE, PLANES, SEED = 24, 62, 7
 #: Entities of one name and class that are compared pair by pair; larger groups are paired by rank.
 GROUP = 32
 #: A suffix rule must hold for this share of the forms with its mark.
@@ -111,24 +111,18 @@ def train_grams(names: list[tuple[str, str | None]], walks: int = 2, length: int
     return vectors[:GRAM_BUCKETS]
 
 
-def name_vectors(names: list[str], grams: np.ndarray, tables: int = TABLES) -> list[np.ndarray]:
-    """The first `tables` matrices of vectors: whole names, then names without one third of their grams."""
+def name_vectors(names: list[str], grams: np.ndarray) -> np.ndarray:
+    """The vectors of names, of length 1."""
     if not names:
-        return [np.zeros((0, SIZE))] * tables
+        return np.zeros((0, SIZE))
     ids = [_grams(n) for n in names]
     sizes = np.array([len(i) for i in ids])
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    inner = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    third = inner * 3 // np.repeat(np.maximum(sizes, 1), sizes)
-    out, each, starts = [], grams[flat], np.cumsum(sizes) - sizes
-    for t in range(tables):
-        v = np.add.reduceat(each if t == 0 else each * (third != t - 1)[:, None], starts, axis=0)
-        out.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
-    return out
+    v = np.add.reduceat(grams[np.concatenate(ids)], np.cumsum(sizes) - sizes, axis=0)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
 def signatures(vectors: np.ndarray, table: int) -> np.ndarray:
-    """The side of each of PLANES random hyperplanes, as bits."""
+    """The side of each of PLANES random hyperplanes, as bits. Blocking doesn't use them: they lose pairs, or let too many meet."""
     planes = np.random.default_rng((SEED, table)).normal(size=(SIZE, PLANES))
     return ((vectors @ planes > 0) @ (1 << np.arange(PLANES, dtype=np.int64))).astype(np.int64)
 
@@ -148,32 +142,34 @@ def _near(a: str, b: str) -> int:
     return 1 if len(ta) > 1 and len(tb) > 1 and ta[0] == tb[1] and ta[1] == tb[0] and ta[2:] == tb[2:] else 2
 
 
+def gap_keys(names: DataFrame, prefix: str) -> DataFrame:
+    """(prefix_name, key, prefix_whole): hashes of each distinct name that isn't empty, whole and without each one letter.
+
+    The names that share a key are few: those that give one string without a letter are
+    bounded by its length and the alphabet.
+    """
+    gaps = F.expr("transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))")
+    keys = names.filter("name <> ''").select("name").distinct().select("name", F.explode(F.array_distinct(F.concat(F.array("name"), gaps))).alias("key"))
+    return keys.select(F.col("name").alias(f"{prefix}_name"), F.xxhash64("key").alias("key"), (F.col("key") == F.col("name")).alias(f"{prefix}_whole"))
+
+
 def name_pairs(left: DataFrame, right: DataFrame, grams: np.ndarray) -> DataFrame:
-    """(left_name, right_name, near, cosine) of distinct names that meet in a table and are at most one error apart."""
+    """(left_name, right_name, near, cosine) of distinct names that are at most one error apart: all such pairs."""
     shared = left.sparkSession.sparkContext.broadcast(grams)
 
-    def hashed(batches):
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            vectors = name_vectors(names, shared.value)
-            for t, v in enumerate(vectors):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(names), t, np.int32)), pa.array(signatures(v, t))], names=["name", "t", "sig"])
-
     def compare(batches):
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            (va,), (vb,) = name_vectors(a, shared.value, 1), name_vectors(b, shared.value, 1)
-            cos = np.einsum("ij,ij->i", va, vb)
+            near = np.array([_near(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int32)
+            kept = batch.filter(pa.array(near < 2))
+            va, vb = (name_vectors(kept.column(k).to_pylist(), shared.value) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([_near(x, y) for x, y in zip(a, b)], pa.int32()), pa.array(cos)],
+                [kept.column(0), kept.column(1), pa.array(near[near < 2]), pa.array(np.einsum("ij,ij->i", va, vb))],
                 names=["left_name", "right_name", "near", "cosine"],
             )
 
-    keys = "name string, t int, sig bigint"
-    lk = left.filter("name <> ''").select("name").distinct().mapInArrow(hashed, keys).withColumnRenamed("name", "left_name")
-    rk = right.filter("name <> ''").select("name").distinct().mapInArrow(hashed, keys).withColumnRenamed("name", "right_name")
-    met = lk.join(rk, ["t", "sig"]).select("left_name", "right_name").distinct()
-    return met.mapInArrow(compare, "left_name string, right_name string, near int, cosine double").filter("near < 2")
+    # equal names meet as whole names only
+    met = gap_keys(left, "left").join(gap_keys(right, "right"), "key").filter("left_name <> right_name or (left_whole and right_whole)")
+    return met.select("left_name", "right_name").distinct().mapInArrow(compare, "left_name string, right_name string, near int, cosine double")
 
 
 def suffix_rules(entries: DataFrame, particles: frozenset[str]) -> dict[str, list[tuple[str, str, float]]]:

@@ -37,6 +37,15 @@ def test_recall_of_tables_against_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_tables_hold_every_single_error(spark):
+    rng = random.Random(5)
+    names = sorted({M.fold_name(_name(rng)) for _ in range(60)} | {"å", "bo", "akka"})
+    wrong = {w[:i] + x + w[j:] for w in names for i in range(len(w) + 1) for x, j in (("", i + 1), ("q", i + 1), ("q", i), (w[i : i + 2][::-1], i + 2))} - set(names) - {""}
+    frame = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "name string")
+    got = {(r.left_name, r.right_name) for r in M.name_pairs(frame(names), frame(wrong), M.train_grams([(n, None) for n in names])).collect()}
+    assert got == {(a, b) for a in names for b in wrong if M._near(a, b) < 2}
+
+
 def test_signatures_agree_for_equal_names():
     g = np.random.default_rng(0).normal(size=(M.GRAM_BUCKETS, M.SIZE))
     a, b = (M.name_vectors([w], g)[0] for w in ("flibrafäst", "flibrafäst"))
