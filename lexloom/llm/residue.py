@@ -2,8 +2,9 @@
 
 Character n-gram models of filler, of error and script notices, of unfilled slots and of
 natural prose give every character a likelihood ratio; windows of it localise residue. The
-models start from a few fixed phrases of each kind and from the counts of all documents,
-and are refitted once to what they found. A record is excluded when residue covers one of
+models start from a few fixed phrases of each kind and from the distinct sentences of all
+documents, so that copies of one residue don't become prose, and are refitted once to what
+they found. A record is excluded when residue covers one of
 its sentences, or when an unfilled slot stands in a sentence that doesn't speak about slots.
 A whole Arrow batch is scored as arrays of code points.
 """
@@ -18,6 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .canonical import _points
 
 # ---- fixed values: phrases that the models start from ----------------------------------
@@ -379,7 +381,7 @@ class Scored:
 
 
 def _counts(documents: DataFrame, column: str, model: ResidueModel | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram counts over all documents: natural prose, its shapes, and filler and notices found by `model`.
+    """Gram counts over the rows of `documents`: natural prose, its shapes, and filler and notices found by `model`.
 
     Without a model everything counts as natural. At most 4 * BUCKETS rows reach the driver.
     """
@@ -421,8 +423,15 @@ def _parts(texts: pa.Array, size: int = 4_000_000):
         yield texts.slice(start)
 
 
+def distinct_sentences(documents: DataFrame, column: str) -> DataFrame:
+    """The sentences of all texts, each once; digits count as equal, so a number in a notice doesn't make another of it."""
+    parts = F.split(F.translate(column, "123456789", "000000000"), r"(?<=[.!?])(?=[ \n])|\n")
+    return documents.select(F.explode(parts).alias(column)).filter(F.trim(column) != "").distinct()
+
+
 def fit_residue(documents: DataFrame, column: str) -> ResidueModel:
-    """The models, from the counts of all documents; found filler and notices refit them once."""
+    """The models, from the distinct sentences of all documents; found filler and notices refit them once."""
+    documents = cut(distinct_sentences(documents, column), "sentences")
     natural, shapes, _ = _counts(documents, column, None)
     first = _model(natural, shapes, None)
     natural, shapes, found = _counts(documents, column, first)

@@ -284,6 +284,18 @@ def test_residue(spark):
     assert found == {i for i, (_, bad) in enumerate(CASES) if bad}
 
 
+def test_residue_with_many_copies(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["flö", "kra", "smy", "båd", "tvi"]) for _ in range(4))
+    prose = [(i, NATURAL.replace("{w}", word())) for i in range(1000)]
+    hot = [(10_000 + i, "Oops! Something went wrong while loading the entry. Please try again later.") for i in range(500)]
+    ends = [(20_000 + i, NATURAL.replace("{w}", word()) + f"\nError {i}: Please enable JavaScript to view this entry.") for i in range(500)]
+    df = spark.createDataFrame(prose + hot + ends, "doc_id long, text string")
+    model = residue.fit_residue(df, "text")
+    found = {r.doc_id for r in df.filter(residue.has_residue(df, "text", model)).collect()}
+    assert found == {i for i, _ in hot + ends}
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, DATA)
