@@ -33,7 +33,7 @@ CLASS_OF_MARK = {"sg": "NOUN", "pl": "NOUN", "pos": "ADJ", "komp": "ADJ", "super
 FIT_RECORDS = 10_000
 GRAM_BUCKETS = 1 << 14
 SIZE, PLANES, SEED = 24, 62, 7
-#: Entities of one name and class that are compared pair by pair; larger groups are paired by rank.
+#: Lexemes of one name that are compared one by one; those of a larger group are compared by what they say, all that say the same at once.
 GROUP = 32
 #: A suffix rule must hold for this share of the forms with its mark.
 RULE_SHARE = 0.02
@@ -301,9 +301,9 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
     An entry with forms belongs to a lexeme whose name the forms show; its own lemma may
     hold an error. An entry without forms belongs to the lexeme its last lemma names, one
     error allowed, or else another of its lemmas. Classes told by forms must agree. Of homonyms the one with the best
-    class, spelling and forms is taken, then the smallest id. Null names match nothing;
-    empty tables give no rows. Groups of more than GROUP homonyms of one class are paired
-    in the order of their ids.
+    class, spelling and forms is taken, then the smallest id; if more than GROUP homonyms tie in
+    all of these, the nth entry that they tie for gets the nth of them. Null names match
+    nothing; empty tables give no rows.
     """
     particles = _particles(lexemes)
     rules = suffix_rules(entries, particles)
@@ -339,27 +339,68 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
         F.coalesce("lemma_near", F.lit(2)).alias("lemma_near"), (~has_forms & F.col("last_near").isNotNull()).cast("int").alias("by_last"),
         F.when(has_forms, (1 + F.coalesce(conf, F.lit(0.0))) / 2).otherwise(conf).alias("confidence"),
     )
-    sizes = lex.groupBy("name", "cls").agg(F.count(F.lit(1)).alias("k"))
-    small = lex.join(sizes.filter(f"k <= {GROUP}").drop("k"), [lex.name.eqNullSafe(sizes.name), lex.cls.eqNullSafe(sizes.cls)], "left_semi")
-    cand = named.join(small.select("name", "lexeme_id", F.col("raw").alias("lex_raw"), F.col("cls").alias("lex_cls"), F.col("forms").alias("lex_forms")), "name")
+    sizes = lex.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    large = cut(sizes.filter(f"k > {GROUP}").select("name"), "large")
+    small = lex.join(large, "name", "left_anti")
+    cand = _scored(named, small.select("name", "lexeme_id", F.col("raw").alias("lex_raw"), F.col("cls").alias("lex_cls"), F.col("forms").alias("lex_forms")))
+    best = cand.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence"), F.struct("score", -F.col("lexeme_id"))).alias("m"), F.max("score").alias("score"))
+    paired = best.select("m.lexeme_id", "entry_id", F.col("m.confidence").alias("confidence"), "score")
+    if not large.isEmpty():
+        paired = _with_large(paired, named, lex, large)
+    return paired.select("lexeme_id", "entry_id", F.round("confidence", 4).alias("confidence"))
+
+
+def _scored(named: DataFrame, lex: DataFrame) -> DataFrame:
+    """Pairs of an entry and a lexeme of its name, without clashes of classes, with what speaks for them as `score`."""
     clash = F.col("cls").isNotNull() & F.col("lex_cls").isNotNull() & (F.col("cls") != F.col("lex_cls"))
     agree = F.coalesce((F.col("cls") == F.col("lex_cls")).cast("int"), F.lit(0)) - clash.cast("int")
     shared = F.size(F.array_intersect("entry_forms", "lex_forms"))
-    rank = F.struct("by_last", -F.col("lemma_near"), agree, (F.col("raw") == F.col("lex_raw")).cast("int"), shared, -F.col("lexeme_id"))
-    best = cand.filter(~(clash & F.col("sure_cls"))).groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence"), rank).alias("m"))
-    paired = best.select("m.lexeme_id", "entry_id", F.round("m.confidence", 4).alias("confidence"))
-    large = sizes.filter(f"k > {GROUP}")
-    if large.isEmpty():
-        return paired
-    return paired.unionByName(_by_rank(named.join(best.select("entry_id"), "entry_id", "left_anti"), lex, large))
+    score = F.struct("by_last", (-F.col("lemma_near")).alias("near"), agree.alias("agree"), (F.col("raw") == F.col("lex_raw")).cast("int").alias("raw"), shared.alias("shared"))
+    return named.join(lex, "name").filter(~(clash & F.col("sure_cls"))).withColumn("score", score)
 
 
-def _by_rank(named: DataFrame, lex: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs of large groups of homonyms: the nth entry with the nth lexeme, ranked in blocks."""
+_SAID = ["name", "cls", "sure_cls", "raw", "entry_forms", "by_last", "lemma_near"]
+#: Parts of the entries of a name that are compared in different tasks.
+SALTS = 16
+
+
+def _with_large(paired: DataFrame, named: DataFrame, lex: DataFrame, large: DataFrame) -> DataFrame:
+    """`paired`, and pairs of entries with lexemes of large groups of homonyms: (lexeme_id, entry_id, confidence, score).
+
+    Lexemes of a group that say the same, and entries that say the same of it, are one row each;
+    these are compared pair by pair, so the work grows with the number of different ones.
+    """
+    from ..operators.skew import heavy_keys, lookup_join
     from .ranking import ranked
 
-    of = large.select("name", F.coalesce("cls", F.lit("")).alias("cls"))
-    a = ranked(lex.select("name", F.coalesce("cls", F.lit("")).alias("cls"), "lexeme_id").join(of, ["name", "cls"], "left_semi"), ["name", "cls"], "lexeme_id")
-    one = named.groupBy("entry_id").agg(F.max_by(F.struct("name", F.coalesce("cls", F.lit("")).alias("cls"), "confidence"), F.struct(-F.col("lemma_near"), "name")).alias("m"))
-    b = ranked(one.select("m.name", "m.cls", "entry_id", "m.confidence").join(of, ["name", "cls"], "left_semi"), ["name", "cls"], "entry_id")
-    return a.join(b, ["name", "cls", "rank"]).select("lexeme_id", "entry_id", F.round("confidence", 4).alias("confidence"))
+    said = lambda cols: F.md5(F.to_json(F.struct(*cols)))
+    ours = cut(lex.join(large, "name", "left_semi").withColumn("lex_key", said(["name", "cls", "raw", "forms"])), "large-lexemes")
+    theirs = cut(named.join(large, "name", "left_semi").withColumn("entry_key", said(_SAID)), "large-entries")
+    lex_kinds = ours.groupBy("lex_key").agg(
+        F.first("name").alias("name"), F.first("cls").alias("lex_cls"), F.first("raw").alias("lex_raw"), F.first("forms").alias("lex_forms"),
+        F.count(F.lit(1)).alias("k"), F.min("lexeme_id").alias("lexeme_id"),
+    )
+    counts = theirs.groupBy("entry_key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in _SAID])
+    salt = F.pmod(F.xxhash64("entry_key"), F.lit(SALTS))
+    entry_kinds = counts.withColumn("name", F.struct("name", salt.alias("salt")))
+    salted = lex_kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumn("name", F.struct("name", "salt")).drop("salt")
+    kinds = _scored(entry_kinds, salted)
+    # the lexemes that tie for an entry are told by the sum of their kinds' hashes
+    ties = kinds.groupBy("entry_key", "score").agg(
+        F.sum("k").alias("tied"), F.min("lexeme_id").alias("lexeme_id"), F.sum(F.xxhash64("lex_key").cast("decimal(38,0)")).alias("tie"),
+    )
+    top = cut(ties.groupBy("entry_key").agg(F.max_by(F.struct("score", "tied", "lexeme_id", "tie"), "score").alias("m")).select("entry_key", "m.*"), "large-best")
+    heavy = heavy_keys(counts.select("entry_key", "n"), ["entry_key"])
+    hits = lookup_join(theirs.select("entry_id", "entry_key", "confidence"), top, ["entry_key"], heavy)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = hits.unionByName(paired.select("entry_id", none("string").alias("entry_key"), "confidence", "score", F.lit(1).cast("bigint").alias("tied"), "lexeme_id", none("decimal(38,0)").alias("tie")))
+    chosen = cut(both.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence", "score", "tied", "tie"), F.struct("score", -F.col("lexeme_id"))).alias("m")).select("entry_id", "m.*"), "chosen")
+    alone = chosen.filter(f"tie is null or tied <= {GROUP}").select("lexeme_id", "entry_id", "confidence", "score")
+
+    # the members of each large tie, by one kind of entry that has it
+    of = top.filter(f"tied > {GROUP}").groupBy("tie").agg(F.min_by(F.struct("entry_key", "score"), "entry_key").alias("m")).select("tie", "m.*")
+    members = kinds.select("entry_key", "score", "lex_key").join(of, ["entry_key", "score"]).select("tie", "lex_key")
+    ids = ours.select("lex_key", "lexeme_id").join(members, "lex_key").select("tie", "lexeme_id")
+    a = ranked(ids, ["tie"], "lexeme_id")
+    b = ranked(chosen.filter(f"tie is not null and tied > {GROUP}").select("tie", "entry_id", "confidence", "score"), ["tie"], "entry_id")
+    return alone.unionByName(a.join(b, ["tie", "rank"]).select("lexeme_id", "entry_id", "confidence", "score"))

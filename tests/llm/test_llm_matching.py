@@ -95,5 +95,17 @@ def test_large_homonym_groups_pair_by_rank(spark):
     assert len(out) == n and len({r.lexeme_id for r in out}) == n and len({r.entry_id for r in out}) == n
 
 
+def test_large_homonym_groups_pair_by_evidence(spark):
+    n, w = M.GROUP + 20, "flibrafäst"
+    own = [f"{w}{a}{b}" for a in "bdgklmnprt" for b in "aeiouy"][:n]
+    lex = spark.createDataFrame([(i, w, "NOUN") for i in range(n)] + [(n, w, "VERB"), (n + 1, w[1:], "NOUN")], LEX)
+    slots = spark.createDataFrame([(i, i, "sg_def", own[i]) for i in range(n)], SLOT)
+    # in another order than the ids, twice for one of them, and once without class
+    ent = [(f"e{i:03}", "nn", [w], _forms(w) + [(own[(i * 7) % n], "sg def nom")]) for i in range(n)]
+    ent += [("f", "nn", [w], _forms(w) + [(own[5], "sg def nom")]), ("g", None, [w], [(w, None), (own[9], None)]), ("h", "nn", [w], [(own[3], "sg def nom"), (w, "sg indef nom"), (w + "s", "sg indef gen")])]
+    out = M.match_entities(lex, slots, spark.createDataFrame(ent, ENT)).collect()
+    assert {r.entry_id: r.lexeme_id for r in out} == {f"e{i:03}": (i * 7) % n for i in range(n)} | {"f": 5, "g": 9, "h": 3} and len(out) == n + 3
+
+
 def test_nothing_matches_nothing(spark):
     assert M.match_entities(spark.createDataFrame([], LEX), spark.createDataFrame([], SLOT), spark.createDataFrame([], ENT)).count() == 0
