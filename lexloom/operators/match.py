@@ -156,19 +156,139 @@ def key_ladder(left: DataFrame, right: DataFrame, word: str) -> DataFrame:
     return ladder_match(left.select(word).distinct(), right.select(word).distinct().withColumn("__w", F.col(word)), word, [(n, f(F.col(word)), f(F.col(word))) for n, f in key], "__w")
 
 
-def assign_within(df_left: DataFrame, df_right: DataFrame, key: str, left_id: str, right_id: str, left_set: str, right_set: str, most: int = 7) -> DataFrame:
-    """Best one-to-one assignment between groups of a key that have equal sizes up to `most`.
+def best_assignment(score: list[list[tuple[int, int, int]]]) -> tuple[list[int], int]:
+    """The column of each row, so that the sums of the scores are the largest, compared in order; and how many tie.
 
-    Score: equal sets, then overlap, then fewest members on one side only; also the number of
-    tied optima. Groups of unequal sizes or more than `most` members are given with a reason
-    and no pairs: (key, left_id, right_id, ties, reason).
+    Hungarian method on one number a score; the optima are the perfect matchings of the pairs
+    that are tight under its potentials, of which the first in order is given. Counting them is
+    done by part, rows and columns that are alike at once.
     """
-    from itertools import permutations
+    import numpy as np
+
+    n = len(score)
+    if not n:
+        return [], 1
+    base = 2 * n * max(max(abs(x) for x in cell) for row in score for cell in row) + 1
+    cost = np.array([[-((int(e) * base + o) * base + m) for e, o, m in row] for row in score], object)
+    if base**2 * n * 4 < 2**62:
+        cost = cost.astype(np.int64)
+    far = 4 * n * (int(np.abs(cost).max()) + 1)
+    u, v = np.zeros(n, cost.dtype), np.zeros(n, cost.dtype)
+    owner = [-1] * n
+    for row in range(n):
+        least, before, done, i, at = np.full(n, far, cost.dtype), np.full(n, -1), np.zeros(n, bool), row, -1
+        reached = [row]
+        while True:
+            slack = cost[i] - u[i] - v
+            better = ~done & (slack < least)
+            least[better], before[better] = slack[better], at
+            free = np.flatnonzero(~done)
+            at = int(free[np.argmin(least[free])])
+            step = least[at]
+            u[reached] += step
+            v[done] -= step
+            least[~done] -= step
+            done[at] = True
+            if owner[at] < 0:
+                break
+            i = owner[at]
+            reached.append(i)
+        while at >= 0:
+            prior = int(before[at])
+            owner[at] = owner[prior] if prior >= 0 else row
+            at = prior
+    tight = cost == u[:, None] + v
+    column = [0] * n
+    for j, i in enumerate(owner):
+        column[i] = j
+    for i in range(n):
+        for j in np.flatnonzero(tight[i]).tolist():
+            if j >= column[i]:
+                break
+            k = owner[j]
+            if k < i:
+                continue
+            # row k gives j away if the rows after i can take what i leaves
+            came, todo, goal = {}, [k], column[i]
+            while todo and goal not in came:
+                r = todo.pop()
+                for c in np.flatnonzero(tight[r]).tolist():
+                    if c != j and c not in came and (c == goal or owner[c] > i):
+                        came[c] = r
+                        if c == goal:
+                            break
+                        todo.append(owner[c])
+            if goal in came:
+                c = goal
+                while True:
+                    r = came[c]
+                    given, column[r], owner[c] = column[r], c, r
+                    if r == k:
+                        break
+                    c = given
+                column[i], owner[j] = j, i
+                break
+    # only pairs on a cycle with the assigned ones are in any optimum
+    reach = tight[:, column]
+    while (more := reach | (reach.astype(np.float32) @ reach.astype(np.float32) > 0)).sum() > reach.sum():
+        reach = more
+    cyclic = np.zeros_like(tight)
+    cyclic[:, column] = reach & reach.T
+    return column, _matchings(tight & cyclic)
+
+
+def _matchings(tight) -> int:
+    """The number of perfect matchings of a square matrix of allowed pairs, which has one.
+
+    Exact; the work grows with the ways in which kinds of columns can be left over, which are
+    few if members of a group are alike, and exponential if many unlike ones tie.
+    """
+    from collections import Counter
+    from math import comb, factorial
+
+    rows, total = {i: frozenset(r.nonzero()[0].tolist()) for i, r in enumerate(tight)}, 1
+    while rows:
+        part, columns = set(), set(rows[next(iter(rows))])
+        while more := {i for i, c in rows.items() if i not in part and c & columns}:
+            part |= more
+            columns = columns.union(*(rows[i] for i in more))
+        mine = sorted(part)
+        # columns that the same rows allow are one kind with a number left
+        kinds = Counter(tuple(i for i in mine if j in rows[i]) for j in columns)
+        names = list(kinds)
+        alike = Counter(frozenset(k for k, name in enumerate(names) if i in name) for i in mine)
+        states = {tuple(kinds[x] for x in names): 1}
+        for allowed, times in sorted(alike.items(), key=lambda x: (len(x[0]), sorted(x[0]))):
+            after: Counter = Counter()
+            for left, ways in states.items():
+                spread = [(left, times, ways)]
+                for k in sorted(allowed):
+                    spread = [(s[:k] + (s[k] - x,) + s[k + 1 :], need - x, w * comb(s[k], x)) for s, need, w in spread for x in range(min(s[k], need) + 1)]
+                for s, need, w in spread:
+                    if not need:
+                        after[s] += w * factorial(times)
+            states = after
+        total *= sum(states.values())
+        for i in mine:
+            del rows[i]
+    return total
+
+
+def assign_within(df_left: DataFrame, df_right: DataFrame, key: str, left_id: str, right_id: str, left_set: str, right_set: str) -> DataFrame:
+    """Best one-to-one assignment between groups of a key that have equal sizes, whatever the size.
+
+    Score: equal sets, then overlap, then fewest members on one side only; of tied optima the
+    first in the order of ids, and their number, null if it has more than 38 digits. Groups of
+    unequal sizes are given with a reason and no pairs: (key, left_id, right_id, ties, reason).
+    The assignment takes cubic time in the size of a group, counting the tied ones may take
+    longer (see _matchings).
+    """
+    from decimal import Decimal
 
     import pandas as pd
 
     sizes = df_left.groupBy(key).agg(F.count(F.lit(1)).alias("a")).join(df_right.groupBy(key).agg(F.count(F.lit(1)).alias("b")), key, "full")
-    reason = F.when(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0)), "unequal").when(F.col("a") > most, "too_many")
+    reason = F.when(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0)), "unequal")
     marked = sizes.withColumn("reason", reason)
     fine = marked.filter("reason is null").select(key)
     lk, rk = df_left.schema[left_id].dataType.simpleString(), df_right.schema[right_id].dataType.simpleString()
@@ -181,21 +301,15 @@ def assign_within(df_left: DataFrame, df_right: DataFrame, key: str, left_id: st
             out = []
             for k, a, b in zip(pdf[key], pdf["l"], pdf["r"]):
                 ls, rs = [(x["id"], set(x["s"])) for x in a], [(x["id"], set(x["s"])) for x in b]
-                score = [[(x == y, len(x & y), -len(x ^ y)) for _, y in rs] for _, x in ls]
-                best, ties, top = None, 0, None
-                for p in permutations(range(len(rs))):
-                    s = tuple(sum(score[i][j][q] for i, j in enumerate(p)) for q in range(3))
-                    if top is None or s > top:
-                        best, ties, top = p, 1, s
-                    elif s == top:
-                        ties += 1
+                best, ties = best_assignment([[(x == y, len(x & y), -len(x ^ y)) for _, y in rs] for _, x in ls])
+                ties = Decimal(ties) if ties < 10**38 else None
                 out += [(k, ls[i][0], rs[j][0], ties, None) for i, j in enumerate(best)]
             yield pd.DataFrame(out, columns=[key, left_id, right_id, "ties", "reason"])
 
-    schema = f"`{key}` {kk}, `{left_id}` {lk}, `{right_id}` {rk}, ties int, reason string"
+    schema = f"`{key}` {kk}, `{left_id}` {lk}, `{right_id}` {rk}, ties decimal(38,0), reason string"
     pairs = l.join(r, key).mapInPandas(solve, schema)
     left_out = marked.filter("reason is not null").select(
-        key, F.lit(None).cast(lk).alias(left_id), F.lit(None).cast(rk).alias(right_id), F.lit(None).cast("int").alias("ties"), "reason"
+        key, F.lit(None).cast(lk).alias(left_id), F.lit(None).cast(rk).alias(right_id), F.lit(None).cast("decimal(38,0)").alias("ties"), "reason"
     )
     return pairs.unionByName(left_out)
 

@@ -193,6 +193,22 @@ def test_assignment_and_alignment(spark):
     assert got == [(1, 0, 0), (1, 1, 1), (1, None, 2), (1, 2, 3), (2, None, 0)]
 
 
+def test_assignment_of_any_size(spark):
+    rng = random.Random(3)
+    for _ in range(150):
+        n = rng.randrange(1, 7)
+        a, b = ([{rng.choice("abcd") for _ in range(rng.randrange(4))} for _ in range(n)] for _ in range(2))
+        score = [[(x == y, len(x & y), -len(x ^ y)) for y in b] for x in a]
+        total = {p: tuple(sum(score[i][j][q] for i, j in enumerate(p)) for q in range(3)) for p in itertools.permutations(range(n))}
+        best = [p for p in total if total[p] == max(total.values())]
+        assert match.best_assignment(score) == (list(best[0]), len(best))
+    n = 30
+    l = frame(spark, [("k", i, [f"w{i}", "x"]) for i in range(n)] + [("t", i, ["a"]) for i in range(9)], "k string, l int, f array<string>")
+    r = frame(spark, [("k", 100 + i, [f"w{n - 1 - i}", "y"]) for i in range(n)] + [("t", 100 + i, ["a"]) for i in range(9)], "k string, r int, g array<string>")
+    want = [("k", i, 100 + n - 1 - i, 1, None) for i in range(n)] + [("t", i, 100 + i, 362880, None) for i in range(9)]
+    assert sorted(tuple(x) for x in match.assign_within(l, r, "k", "l", "r", "f", "g").collect()) == want
+
+
 def test_corrections_keep_other_rows(spark):
     df = frame(spark, [(1, "a"), (2, "a"), (3, None)], "k int, v string")
     c = frame(spark, [(1, "a", "b")], "k int, old string, new string")
