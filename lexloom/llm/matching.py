@@ -222,7 +222,7 @@ _VIEWS = "entry_id string, name string, raw string, kind string, weight double,
 
 
 def entry_views(entries: DataFrame, rules: dict, particles: frozenset[str]) -> DataFrame:
-    """The names an entry may stand for: its lemmas, and the two best stems of its forms."""
+    """The names an entry may stand for: its lemmas, and every stem that half of its forms vote for."""
     shared = entries.sparkSession.sparkContext.broadcast((rules, particles))
 
     def views(batches):
@@ -238,7 +238,7 @@ def entry_views(entries: DataFrame, rules: dict, particles: frozenset[str]) -> D
                 for k, x in enumerate(names):
                     out.append((entry, fold_name(x, particles), x.strip(), "lemma", 1.0, k == len(names) - 1, *common))
                 stems = stems_of(forms, rules)
-                for s, w in sorted(stems.items(), key=lambda i: (-i[1], len(i[0]), i[0]))[:3]:
+                for s, w in sorted(stems.items()):
                     if w >= 0.5:
                         out.append((entry, s, "", "stem", w, False, *common))
             cells = list(zip(*out)) if out else [[] for _ in range(9)]

@@ -107,5 +107,11 @@ def test_large_homonym_groups_pair_by_evidence(spark):
     assert {r.entry_id: r.lexeme_id for r in out} == {f"e{i:03}": (i * 7) % n for i in range(n)} | {"f": 5, "g": 9, "h": 3} and len(out) == n + 3
 
 
+def test_all_likely_stems_are_kept(spark):
+    rules = {"m": [("en", x, 0.1) for x in ("", "a", "e", "el", "er")]}
+    ent = spark.createDataFrame([("e", "nn", [], [("flibrafästen", "m")])], ENT)
+    assert {r.name for r in M.entry_views(ent, rules, frozenset()).collect()} == {"flibrafast" + x for x in ("", "a", "e", "el", "er")}
+
+
 def test_nothing_matches_nothing(spark):
     assert M.match_entities(spark.createDataFrame([], LEX), spark.createDataFrame([], SLOT), spark.createDataFrame([], ENT)).count() == 0
