@@ -88,7 +88,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def p9_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document in a container, for each capacity of pack_limits."""
-    limits = {r.limit_id: r.capacity for r in table(spark, sf, "pack_limits").limit(1000).collect()}
+    limits = {r.limit_id: r.capacity for r in table(spark, sf, "pack_limits").collect()}
     sized = table(spark, sf, "documents").select("doc_id", bpe.token_count(spark, "text").alias("tokens"))
     packed = packing.pack_each(sized, "doc_id", "tokens", limits)
     return packed.select("limit_id", "capacity", F.col("container").alias("container_id"), F.col("id").alias("doc_id"), "part", "start", "size")

@@ -296,6 +296,16 @@ def test_residue_with_many_copies(spark):
     assert found == {i for i, _ in hot + ends}
 
 
+def test_packing_takes_every_capacity(spark, monkeypatch):
+    limits = spark.createDataFrame([(i, 100 + i) for i in range(1200)], "limit_id int, capacity int")
+    tables = {"pack_limits": limits, "documents": spark.createDataFrame([(1, "a")], "doc_id long, text string")}
+    monkeypatch.setattr(queries, "table", lambda spark, sf, name: tables[name])
+    asked = {}
+    monkeypatch.setattr(packing, "pack_each", lambda df, i, t, limits: asked.update(limits) or df.sparkSession.createDataFrame([], "limit_id int, capacity int, container long, id long, part int, start int, size int"))
+    queries.p9_packing(spark, "")
+    assert len(asked) == 1200
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, DATA)
