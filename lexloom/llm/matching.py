@@ -1,12 +1,13 @@
 """Matching entities across sources without keys.
 
-Records, their attributes and the character grams of their names form a graph; random walks
-over a bounded sample of it train skip-gram vectors of grams. A name's vector is the sum of
-its grams' vectors. Names meet by exact keys, the whole name and the name without each one of
-its letters: names that are one error apart are equal without the letter at fault, so they
-always meet. Candidate names are reranked exactly by edit
-distance and the evidence of inflected forms, and cosines are calibrated on the pairs whose
-forms tell the truth.
+Records of both tables, their attributes (names, inflected forms, class) and the tokens of
+these (character grams) form a graph. Random walks over it train skip-gram vectors of
+tokens, so grams that stand together come near each other and a gram that an error made
+weighs little: a name and its misspelling keep almost one direction, where vectors without
+training lose it. Names are blocked by the sides of random hyperplanes in several tables,
+with the planes a table has and the number of tables planned from the number of names and
+from the angles of known errors; what meets is reranked exactly by edit distance, class,
+spelling, forms and cosine, and cosines and votes of forms are calibrated on each other.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -29,12 +32,15 @@ CLASSES = {"nn": "NOUN", "av": "ADJ", "vb": "VERB", "noun": "NOUN", "adj": "ADJ"
 CLASS_OF_MARK = {"sg": "NOUN", "pl": "NOUN", "pos": "ADJ", "komp": "ADJ", "super": "ADJ", "superl": "ADJ", "inf": "VERB", "pres": "VERB", "pret": "VERB", "sup": "VERB"}
 # -------------------------------------------------------------------------------------
 
-#: Records whose walks train the gram vectors, at most.
+#: Records of each table that walks start from and pass through, at most: the token vectors are fitted to them, every record is indexed.
 FIT_RECORDS = 10_000
 GRAM_BUCKETS = 1 << 14
-SIZE, PLANES, SEED = 24, 62, 7
-#: Lexemes of one name that are compared one by one; those of a larger group are compared by what they say, all that say the same at once.
-GROUP = 32
+SIZE, SEED = 32, 7
+WALKS, FEWEST, MOST, LENGTH, HOP = 80_000, 4, 40, 8, 0.05
+#: The share of single errors that the tables must hold, by the errors tried on names of the sample, and the most tables there can be.
+RECALL, MOST_TABLES = 0.96, 256
+#: Hyperplanes that a searched name is closest to, on both sides of which it is looked for.
+FLIPS = 2
 #: A suffix rule must hold for this share of the forms with its mark.
 RULE_SHARE = 0.02
 
@@ -75,56 +81,173 @@ def _grams(name: str) -> np.ndarray:
     return ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) % GRAM_BUCKETS
 
 
-def train_grams(names: list[tuple[str, str | None]], walks: int = 2, length: int = 10, rounds: int = 1) -> np.ndarray:
-    """Skip-gram vectors with negative samples from walks record - token - record - ..., attributes as tokens."""
+@dataclass
+class Graph:
+    """A bounded record-attribute-token graph: record r has attributes first[r]:first[r+1], attribute a tokens at[a]:at[a+1]."""
+
+    first: np.ndarray
+    at: np.ndarray
+    tokens: np.ndarray
+    holder_at: np.ndarray
+    holders: np.ndarray
+
+    def walks(self) -> int:
+        """Walks from each record: WALKS in all, but FEWEST to MOST."""
+        return min(max(-(-WALKS // max(len(self.first) - 1, 1)), FEWEST), MOST)
+
+    def walk(self, start: int) -> np.ndarray:
+        """Tokens met on walks of LENGTH steps: an attribute of the record, one of its tokens, now and then on to another record that has the token."""
+        rng = np.random.default_rng((SEED, start))
+        n = self.walks()
+        out = np.empty((n, LENGTH), np.int64)
+        dice, hops = rng.random((n, LENGTH, 3)), rng.random((n, LENGTH)) < HOP
+        for w in range(n):
+            r = start
+            for k in range(LENGTH):
+                a = self.first[r] + int(dice[w, k, 0] * (self.first[r + 1] - self.first[r]))
+                t = self.tokens[self.at[a] + int(dice[w, k, 1] * (self.at[a + 1] - self.at[a]))]
+                out[w, k] = t
+                if hops[w, k]:
+                    lo, hi = self.holder_at[t], self.holder_at[t + 1]
+                    r = self.holders[lo + int(dice[w, k, 2] * (hi - lo))]
+        return out
+
+
+_CLASS_TOKENS = {c: GRAM_BUCKETS + i for i, c in enumerate(("NOUN", "ADJ", "VERB"))}
+TOKENS = GRAM_BUCKETS + len(_CLASS_TOKENS)
+
+
+def record_graph(records: list[tuple[list[str], str | None]]) -> Graph:
+    """The graph of records given as (name and forms, class); records without names are left out."""
+    first, lists, holder = [0], [], []
+    for values, cls in records:
+        mine = [_grams(v) for v in values if v]
+        if mine:
+            # the class stands beside the grams of the name: alone it would be every other token of a walk
+            mine[0] = np.append(mine[0], _CLASS_TOKENS[cls]) if cls in _CLASS_TOKENS else mine[0]
+            holder += [len(first) - 1] * sum(map(len, mine))
+            lists += mine
+            first.append(len(lists))
+    tokens = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    holder_at = np.searchsorted(tokens[order], np.arange(TOKENS + 1))
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return Graph(np.array(first), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), tokens, holder_at, np.array(holder, np.int64)[order] if lists else tokens)
+
+
+def random_walks(spark: SparkSession, graph: Graph) -> np.ndarray:
+    """The walks from every record of the graph, walked by the executors."""
+    shared = spark.sparkContext.broadcast(graph)
+
+    def walk(batches):
+        for batch in batches:
+            w = [shared.value.walk(r).ravel() for r in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.list_(pa.int64()))], names=["id", "walk"])
+
+    rows = spark.range(len(graph.first) - 1).mapInArrow(walk, "id bigint, walk array<bigint>").toArrow().sort_by("id")
+    return rows["walk"].combine_chunks().values.to_numpy().reshape(-1, LENGTH) if len(rows) else np.zeros((0, LENGTH), np.int64)
+
+
+def train_tokens(walks: np.ndarray, rate: float = 0.1, noises: int = 3, batch: int = 1024) -> np.ndarray:
+    """Skip-gram vectors of tokens with negative samples. They begin near nothing, so tokens that are hardly ever met stay there."""
     rng = np.random.default_rng(SEED)
-    vectors = rng.normal(0, 1 / np.sqrt(SIZE), (GRAM_BUCKETS + 8, SIZE))
-    if len(names) < 2:
-        return vectors[:GRAM_BUCKETS]
-    attribute = {c: GRAM_BUCKETS + i for i, c in enumerate(("NOUN", "ADJ", "VERB"))}
-    tokens = [np.append(_grams(n), attribute.get(c, GRAM_BUCKETS + 7)) for n, c in names]
-    holders = defaultdict(list)
-    for r, t in enumerate(tokens):
-        for x in set(t.tolist()):
-            holders[x].append(r)
-    sentences = np.empty((len(names) * walks, length), np.int64)
-    for w in range(len(sentences)):
-        r = w % len(names)
-        for k in range(length):
-            t = int(tokens[r][rng.integers(len(tokens[r]))])
-            sentences[w, k] = t
-            r = holders[t][rng.integers(len(holders[t]))]
-    pairs = np.concatenate([np.stack([sentences[:, :-d].ravel(), sentences[:, d:].ravel()], 1) for d in (1, 2)])
+    vectors = (rng.uniform(-0.5, 0.5, (TOKENS, SIZE)) / SIZE).astype(np.float32)
+    if not len(walks):
+        return vectors
+    pairs = np.concatenate([np.stack([walks[:, :-d].ravel(), walks[:, d:].ravel()], 1) for d in (1, 2, 3)])
+    pairs = pairs[rng.permutation(len(pairs))]
     context = np.zeros_like(vectors)
-    freq = np.bincount(sentences.ravel(), minlength=len(vectors)) ** 0.75
-    noise = np.cumsum(freq) / freq.sum()
-    rate = 0.1
-    for _ in range(rounds):
-        order = rng.permutation(len(pairs))
-        for at in range(0, len(order), 2048):
-            a, b = pairs[order[at : at + 2048]].T
-            for target, label in [(b, 1.0)] + [(np.searchsorted(noise, rng.random(len(a))), 0.0) for _ in range(3)]:
-                g = rate * (label - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", vectors[a], context[target]), -30, 30))))[:, None]
-                da, dt = g * context[target], g * vectors[a]
-                np.add.at(vectors, a, da)
-                np.add.at(context, target, dt)
-    return vectors[:GRAM_BUCKETS]
-
-
-def name_vectors(names: list[str], grams: np.ndarray) -> np.ndarray:
-    """The vectors of names, of length 1."""
-    if not names:
-        return np.zeros((0, SIZE))
-    ids = [_grams(n) for n in names]
-    sizes = np.array([len(i) for i in ids])
-    v = np.add.reduceat(grams[np.concatenate(ids)], np.cumsum(sizes) - sizes, axis=0)
+    noise = np.cumsum(np.bincount(walks.ravel(), minlength=TOKENS) ** 0.75)
+    for at in range(0, len(pairs), batch):
+        a, b = pairs[at : at + batch].T
+        for target, label in [(b, 1.0)] + [(np.searchsorted(noise, rng.random(len(a)) * noise[-1], "right"), 0.0) for _ in range(noises)]:
+            g = (np.float32(rate) * (np.float32(label) - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", vectors[a], context[target]), -30, 30)))))[:, None]
+            da, dt = g * context[target], g * vectors[a]
+            np.add.at(vectors, a, da)
+            np.add.at(context, target, dt)
+    return vectors
+
+
+def _one_error(name: str, rng: np.random.Generator, letters: str) -> str:
+    i, x, kind = int(rng.integers(len(name))), letters[int(rng.integers(len(letters)))], int(rng.integers(4))
+    if kind == 0:
+        return name[:i] + x + name[i + 1 :]
+    if kind == 1:
+        return name[:i] + x + name[i:]
+    if kind == 2:
+        return name[:i] + name[i + 1 :]
+    return name[:i] + name[i : i + 2][::-1] + name[i + 2 :]
+
+
+@dataclass
+class NameSpace:
+    """Token vectors, the mean direction of names, which tells nothing, and the plan of the tables."""
+
+    tokens: np.ndarray
+    mean: np.ndarray
+    planes: int = 8
+    tables: int = 1
+
+    def vectors(self, names: list[str]) -> np.ndarray:
+        """The vectors of names, of length 1."""
+        if not names:
+            return np.zeros((0, SIZE))
+        ids = [_grams(n) for n in names]
+        sizes = np.array([len(i) for i in ids])
+        return _unit(_unit(np.add.reduceat(self.tokens[np.concatenate(ids)], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)) - self.mean)
+
+    def signatures(self, vectors: np.ndarray, table: int, flips: int = 0) -> np.ndarray:
+        """The sides of a table's hyperplanes as bits, with the table above them; with `flips`, 2 ** flips columns: all sides of the closest planes."""
+        side = vectors @ np.random.default_rng((SEED, table)).normal(size=(SIZE, self.planes))
+        key = ((side > 0) @ (1 << np.arange(self.planes, dtype=np.int64))).astype(np.int64) | (table << 48)
+        out = key[:, None]
+        if flips:
+            for p in np.argsort(np.abs(side), axis=1)[:, :flips].T:
+                out = np.concatenate([out, out ^ (np.int64(1) << p.astype(np.int64))[:, None]], axis=1)
+        return out
+
+    def plan(self, names: list[str], count: int, seed: int = SEED) -> None:
+        """Planes for a quarter of a name in each bucket, of `count`; tables until RECALL of the errors made in `names` meet their names."""
+        self.planes = int(min(max(np.ceil(np.log2(max(count, 1))) + 2, 8), 46))
+        names = [n for n in names if len(n) > 1]
+        if not names:
+            return
+        rng = np.random.default_rng(seed)
+        letters = sorted(set("".join(names)))
+        wrong = [_one_error(n, rng, letters) for n in names]
+        a, b = self.vectors(names), self.vectors(wrong)
+        met = np.zeros(len(names), bool)
+        for self.tables in range(1, MOST_TABLES + 1):
+            t = self.tables - 1
+            met |= (self.signatures(b, t, FLIPS) == self.signatures(a, t)).any(axis=1)
+            if met.mean() >= RECALL:
+                return
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def signatures(vectors: np.ndarray, table: int) -> np.ndarray:
-    """The side of each of PLANES random hyperplanes, as bits. Blocking doesn't use them: they lose pairs, or let too many meet."""
-    planes = np.random.default_rng((SEED, table)).normal(size=(SIZE, PLANES))
-    return ((vectors @ planes > 0) @ (1 << np.arange(PLANES, dtype=np.int64))).astype(np.int64)
+def fit_space(lex: DataFrame, views: DataFrame, trained: bool = True) -> NameSpace:
+    """The vectors of names from walks over FIT_RECORDS records of each side, drawn by a hash, and the tables for all names of `lex`.
+
+    `lex` is of lexeme_views, `views` of entry_views. Without `trained` the vectors of
+    tokens are random, for comparison.
+    """
+    drawn = lambda df, *cols: df.orderBy(F.xxhash64(*cols), *cols).limit(FIT_RECORDS)
+    ours = drawn(lex.select("lexeme_id", "name", "cls", "forms"), "lexeme_id").select("name", "cls", "forms").collect()
+    theirs = drawn(views.groupBy("entry_id").agg(F.collect_set("name").alias("names"), F.max("cls").alias("cls"), F.first("forms").alias("forms")), "entry_id").collect()
+    records = [([r.name, *sorted(r.forms or [])], r.cls) for r in ours] + [(sorted({*r.names, *(r.forms or [])}), r.cls) for r in theirs]
+    names = sorted({r.name for r in ours})
+    if trained:
+        tokens = train_tokens(random_walks(lex.sparkSession, record_graph(records)))
+    else:
+        tokens = np.random.default_rng(SEED).normal(size=(TOKENS, SIZE))
+    space = NameSpace(tokens, np.zeros(SIZE))
+    space.mean = space.vectors(names).mean(axis=0) if names else space.mean
+    # 2000 errors tell a share of 0.96 to 0.01
+    space.plan([names[i] for i in np.random.default_rng(SEED).permutation(len(names))[:2000]], lex.select(F.count_distinct("name")).first()[0])
+    return space
 
 
 def _near(a: str, b: str) -> int:
@@ -142,34 +265,52 @@ def _near(a: str, b: str) -> int:
     return 1 if len(ta) > 1 and len(tb) > 1 and ta[0] == tb[1] and ta[1] == tb[0] and ta[2:] == tb[2:] else 2
 
 
-def gap_keys(names: DataFrame, prefix: str) -> DataFrame:
-    """(prefix_name, key, prefix_whole): hashes of each distinct name that isn't empty, whole and without each one letter.
+def _keyed(names: DataFrame, space: Broadcast, prefix: str, tables: range, flips: int = 0) -> DataFrame:
+    """(key, prefix_name): each name under its buckets in `tables`."""
 
-    The names that share a key are few: those that give one string without a letter are
-    bounded by its length and the alphabet.
-    """
-    gaps = F.expr("transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))")
-    keys = names.filter("name <> ''").select("name").distinct().select("name", F.explode(F.array_distinct(F.concat(F.array("name"), gaps))).alias("key"))
-    return keys.select(F.col("name").alias(f"{prefix}_name"), F.xxhash64("key").alias("key"), (F.col("key") == F.col("name")).alias(f"{prefix}_whole"))
+    def key(batches):
+        for batch in batches:
+            texts = batch.column(0)
+            v = space.value.vectors(texts.to_pylist())
+            for t in tables:
+                keys = space.value.signatures(v, t, flips)
+                for k in range(keys.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), texts], names=["key", f"{prefix}_name"])
+
+    return names.select("name").mapInArrow(key, f"key bigint, {prefix}_name string")
+
+
+_NAMES = "left_name string, right_name string, near int, cosine double"
 
 
-def name_pairs(left: DataFrame, right: DataFrame, grams: np.ndarray) -> DataFrame:
-    """(left_name, right_name, near, cosine) of distinct names that are at most one error apart: all such pairs."""
-    shared = left.sparkSession.sparkContext.broadcast(grams)
+def name_pairs(left: DataFrame, right: DataFrame, space: NameSpace) -> DataFrame:
+    """(left_name, right_name, near, cosine) of distinct names (name, asked) that share a bucket and are at most one error apart.
+
+    Equal names share every bucket, so one table finds them. The names of `right` that are
+    `asked` for and found no equal one there go on to all tables, and are looked for on both
+    sides of the planes they are closest to. Buckets that hold many names are split by the
+    skew handling of the join.
+    """
+    shared = left.sparkSession.sparkContext.broadcast(space)
 
     def compare(batches):
         for batch in batches:
             near = np.array([_near(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int32)
             kept = batch.filter(pa.array(near < 2))
-            va, vb = (name_vectors(kept.column(k).to_pylist(), shared.value) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(1), pa.array(near[near < 2]), pa.array(np.einsum("ij,ij->i", va, vb))],
-                names=["left_name", "right_name", "near", "cosine"],
-            )
+            va, vb = (shared.value.vectors(kept.column(k).to_pylist()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(near[near < 2]), pa.array(np.einsum("ij,ij->i", va, vb))], names=[x.split()[0] for x in _NAMES.split(", ")])
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        # two letters swapped are a distance of two
+        return a.join(b, "key").filter(F.levenshtein("left_name", "right_name", 2) >= 0).select("left_name", "right_name")
 
-    # equal names meet as whole names only
-    met = gap_keys(left, "left").join(gap_keys(right, "right"), "key").filter("left_name <> right_name or (left_whole and right_whole)")
-    return met.select("left_name", "right_name").distinct().mapInArrow(compare, "left_name string, right_name string, near int, cosine double")
+    names = left.filter("name <> ''").select("name").distinct()
+    others = right.filter("name <> ''").groupBy("name").agg(F.max("asked").alias("asked"))
+    first = cut(met(_keyed(names, shared, "left", range(1)), _keyed(others, shared, "right", range(1))).filter("left_name = right_name").mapInArrow(compare, _NAMES), "equal-names")
+    open_ = others.filter("asked").join(first.select(F.col("right_name").alias("name")), "name", "left_anti")
+    tables = range(space.tables)
+    more = met(_keyed(names, shared, "left", tables), _keyed(open_, shared, "right", tables, FLIPS)).distinct().mapInArrow(compare, _NAMES)
+    return first.unionByName(more)
 
 
 def suffix_rules(entries: DataFrame, particles: frozenset[str]) -> dict[str, list[tuple[str, str, float]]]:
@@ -185,7 +326,7 @@ def suffix_rules(entries: DataFrame, particles: frozenset[str]) -> dict[str, lis
                 names = [fold_name(x, particles) for x in lemmas or []]
                 for f in forms or []:
                     form, mark = fold_name(f["form"], particles), f["msd"]
-                    if not form or not mark or len(mark) > 40:
+                    if not form or not mark:
                         continue
                     for name in names:
                         k = 0
@@ -277,12 +418,20 @@ def _particles(lexemes: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in many.join(F.broadcast(total), F.col("n") * 100 > F.col("total")).filter(F.length("w") <= 4).collect())
 
 
-def calibrate(cosines: np.ndarray, truths: np.ndarray, bins: int = 10) -> list[tuple[float, float]]:
-    """Monotone steps (least cosine, confidence) from pairs whose truth is known (pooled adjacent violators)."""
-    if not len(cosines):
+def calibrate(values: np.ndarray, truths: np.ndarray, weights: np.ndarray | None = None) -> list[tuple[float, float]]:
+    """Monotone steps (least value, probability) from values whose truth is known (pooled adjacent violators), each seen `weights` times."""
+    if not len(values):
         return [(-1.0, 0.5)]
-    order = np.argsort(cosines)
-    steps = [[float(cosines[c].min()), float(truths[c].sum()) + 0.5, len(c) + 1.0] for c in np.array_split(order, bins) if len(c)]
+    w = np.ones(len(values)) if weights is None else weights
+    order = np.argsort(values, kind="stable")
+    # at least 20 in a step, so that a single one doesn't tell
+    steps: list[list[float]] = []
+    for c in order:
+        if steps and steps[-1][2] < 20:
+            steps[-1][1] += truths[c] * w[c]
+            steps[-1][2] += w[c]
+        else:
+            steps.append([float(values[c]), float(truths[c] * w[c]) + 0.5, w[c] + 1.0])
     k = 0
     while k + 1 < len(steps):
         if steps[k][1] / steps[k][2] > steps[k + 1][1] / steps[k + 1][2]:
@@ -295,23 +444,33 @@ def calibrate(cosines: np.ndarray, truths: np.ndarray, bins: int = 10) -> list[t
     return [(s[0], s[1] / s[2]) for s in steps]
 
 
+def _calibrated(rows: DataFrame, value: str, truth: Column) -> Column:
+    """The probability that `truth` holds, by the value rounded to hundredths, from all rows; at most 201 counts reach the driver."""
+    seen = rows.groupBy(F.round(value, 2).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(truth.cast("double")).alias("y")).collect()
+    v, n, y = (np.array([r[k] for r in seen], float) for k in ("v", "n", "y"))
+    steps = calibrate(v, y / n, n) if len(v) else calibrate(v, y)
+    out = F.lit(steps[0][1])
+    for least, p in steps:
+        out = F.when(F.round(value, 2) >= least, F.lit(p)).otherwise(out)
+    return F.when(F.col(value).isNotNull(), out)
+
+
 def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) -> DataFrame:
     """(lexeme_id, entry_id, confidence): at most one lexeme for each entry.
 
     An entry with forms belongs to a lexeme whose name the forms show; its own lemma may
     hold an error. An entry without forms belongs to the lexeme its last lemma names, one
-    error allowed, or else another of its lemmas. Classes told by forms must agree. Of homonyms the one with the best
-    class, spelling and forms is taken, then the smallest id; if more than GROUP homonyms tie in
-    all of these, the nth entry that they tie for gets the nth of them. Null names match
-    nothing; empty tables give no rows.
+    error allowed, or else another of its lemmas. Classes told by forms must agree. Of
+    homonyms the one with the best class, spelling, forms and cosine is taken. The lexemes
+    that tie in all of these are given to the entries that tie for them in turn, and the
+    confidence is divided by their number. Null names match nothing; empty tables give no rows.
     """
     particles = _particles(lexemes)
     rules = suffix_rules(entries, particles)
     views = cut(entry_views(entries, rules, particles), "views")
     lex = cut(lexeme_views(lexemes, slots, particles).filter("name <> ''"), "lexemes")
-    sample = lex.select("name", "cls").orderBy(F.xxhash64("name", "lexeme_id")).limit(FIT_RECORDS).collect()
-    grams = train_grams([(r.name, r.cls) for r in sample])
-    pairs = cut(name_pairs(lex, views, grams), "names")
+    space = fit_space(lex, views)
+    pairs = cut(name_pairs(lex, views.select("name", (F.col("kind") == "lemma").alias("asked")), space), "names")
 
     # what an entry says for each name: of its lemmas, of its forms
     said = views.join(pairs.withColumnRenamed("right_name", "name"), "name").groupBy("entry_id", "left_name").agg(
@@ -323,13 +482,11 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
         F.first("cls").alias("cls"), F.first("sure_cls").alias("sure_cls"), F.first("forms").alias("forms"),
     )
     said = cut(said, "said")
-    told = said.filter("lemma_cosine is not null and size(forms) > 0").select("lemma_cosine", F.col("stem").isNotNull().alias("y"))
-    rows = told.orderBy(F.xxhash64("lemma_cosine", "y")).limit(FIT_RECORDS).collect()
-    steps = calibrate(np.array([r.lemma_cosine for r in rows], float), np.array([r.y for r in rows], float))
-    conf = F.lit(steps[0][1])
-    for least, p in steps:
-        conf = F.when(F.col("lemma_cosine") >= least, F.lit(p)).otherwise(conf)
     has_forms = F.size("forms") > 0
+    # lemmas and forms are two witnesses: each is calibrated on what the other says
+    lemma_p = _calibrated(said.filter(has_forms & F.col("lemma_cosine").isNotNull()), "lemma_cosine", F.coalesce("stem", F.lit(0.0)) >= 0.5)
+    forms_p = _calibrated(said.filter("stem is not null"), "stem", F.col("lemma_near").isNotNull())
+    confidence = 1 - (1 - F.coalesce(lemma_p, F.lit(0.0))) * (1 - F.coalesce(forms_p, F.lit(0.0)))
     # damaged forms still begin as the name they belong to
     alike = F.expr("size(filter(forms, f -> startswith(f, left(left_name, length(left_name) - 1)))) >= 0.5 * size(forms)")
     shown = (F.coalesce(F.col("stem"), F.lit(0.0)) >= 0.5) | ((F.col("lemma_near") == 0) & alike)
@@ -337,17 +494,9 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
     named = said.filter(good).select(
         "entry_id", F.col("left_name").alias("name"), "raw", "cls", "sure_cls", F.col("forms").alias("entry_forms"),
         F.coalesce("lemma_near", F.lit(2)).alias("lemma_near"), (~has_forms & F.col("last_near").isNotNull()).cast("int").alias("by_last"),
-        F.when(has_forms, (1 + F.coalesce(conf, F.lit(0.0))) / 2).otherwise(conf).alias("confidence"),
+        F.round(F.coalesce("lemma_cosine", F.lit(0.0)), 3).alias("cosine"), F.round(confidence, 4).alias("confidence"),
     )
-    sizes = lex.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
-    large = cut(sizes.filter(f"k > {GROUP}").select("name"), "large")
-    small = lex.join(large, "name", "left_anti")
-    cand = _scored(named, small.select("name", "lexeme_id", F.col("raw").alias("lex_raw"), F.col("cls").alias("lex_cls"), F.col("forms").alias("lex_forms")))
-    best = cand.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence"), F.struct("score", -F.col("lexeme_id"))).alias("m"), F.max("score").alias("score"))
-    paired = best.select("m.lexeme_id", "entry_id", F.col("m.confidence").alias("confidence"), "score")
-    if not large.isEmpty():
-        paired = _with_large(paired, named, lex, large)
-    return paired.select("lexeme_id", "entry_id", F.round("confidence", 4).alias("confidence"))
+    return _chosen(named, lex)
 
 
 def _scored(named: DataFrame, lex: DataFrame) -> DataFrame:
@@ -355,52 +504,51 @@ def _scored(named: DataFrame, lex: DataFrame) -> DataFrame:
     clash = F.col("cls").isNotNull() & F.col("lex_cls").isNotNull() & (F.col("cls") != F.col("lex_cls"))
     agree = F.coalesce((F.col("cls") == F.col("lex_cls")).cast("int"), F.lit(0)) - clash.cast("int")
     shared = F.size(F.array_intersect("entry_forms", "lex_forms"))
-    score = F.struct("by_last", (-F.col("lemma_near")).alias("near"), agree.alias("agree"), (F.col("raw") == F.col("lex_raw")).cast("int").alias("raw"), shared.alias("shared"))
+    score = F.struct("by_last", (-F.col("lemma_near")).alias("near"), agree.alias("agree"), (F.col("raw") == F.col("lex_raw")).cast("int").alias("raw"), shared.alias("shared"), "cosine")
     return named.join(lex, "name").filter(~(clash & F.col("sure_cls"))).withColumn("score", score)
 
 
-_SAID = ["name", "cls", "sure_cls", "raw", "entry_forms", "by_last", "lemma_near"]
+_SAID = ["name", "cls", "sure_cls", "raw", "entry_forms", "by_last", "lemma_near", "cosine"]
 #: Parts of the entries of a name that are compared in different tasks.
-SALTS = 16
+SALTS = 4
 
 
-def _with_large(paired: DataFrame, named: DataFrame, lex: DataFrame, large: DataFrame) -> DataFrame:
-    """`paired`, and pairs of entries with lexemes of large groups of homonyms: (lexeme_id, entry_id, confidence, score).
+def _chosen(named: DataFrame, lex: DataFrame) -> DataFrame:
+    """(lexeme_id, entry_id, confidence): the best lexeme of each entry.
 
-    Lexemes of a group that say the same, and entries that say the same of it, are one row each;
-    these are compared pair by pair, so the work grows with the number of different ones.
+    Lexemes of a name that say the same, and entries that say the same of it, are one row
+    each; these are compared pair by pair, so the work grows with the number of different
+    ones, whatever the number of rows.
     """
     from ..operators.skew import heavy_keys, lookup_join
     from .ranking import ranked
 
     said = lambda cols: F.md5(F.to_json(F.struct(*cols)))
-    ours = cut(lex.join(large, "name", "left_semi").withColumn("lex_key", said(["name", "cls", "raw", "forms"])), "large-lexemes")
-    theirs = cut(named.join(large, "name", "left_semi").withColumn("entry_key", said(_SAID)), "large-entries")
+    ours = cut(lex.withColumn("lex_key", said(["name", "cls", "raw", "forms"])), "lexeme-kinds")
+    theirs = cut(named.withColumn("entry_key", said(_SAID)), "entry-kinds")
     lex_kinds = ours.groupBy("lex_key").agg(
         F.first("name").alias("name"), F.first("cls").alias("lex_cls"), F.first("raw").alias("lex_raw"), F.first("forms").alias("lex_forms"),
         F.count(F.lit(1)).alias("k"), F.min("lexeme_id").alias("lexeme_id"),
     )
     counts = theirs.groupBy("entry_key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in _SAID])
-    salt = F.pmod(F.xxhash64("entry_key"), F.lit(SALTS))
-    entry_kinds = counts.withColumn("name", F.struct("name", salt.alias("salt")))
+    entry_kinds = counts.withColumn("name", F.struct("name", F.pmod(F.xxhash64("entry_key"), F.lit(SALTS)).alias("salt")))
     salted = lex_kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumn("name", F.struct("name", "salt")).drop("salt")
-    kinds = _scored(entry_kinds, salted)
+    kinds = cut(_scored(entry_kinds, salted).select("entry_key", "score", "k", "lexeme_id", "lex_key"), "kinds")
     # the lexemes that tie for an entry are told by the sum of their kinds' hashes
     ties = kinds.groupBy("entry_key", "score").agg(
         F.sum("k").alias("tied"), F.min("lexeme_id").alias("lexeme_id"), F.sum(F.xxhash64("lex_key").cast("decimal(38,0)")).alias("tie"),
     )
-    top = cut(ties.groupBy("entry_key").agg(F.max_by(F.struct("score", "tied", "lexeme_id", "tie"), "score").alias("m")).select("entry_key", "m.*"), "large-best")
+    top = cut(ties.groupBy("entry_key").agg(F.max_by(F.struct("score", "tied", "lexeme_id", "tie"), "score").alias("m")).select("entry_key", "m.*"), "best-kinds")
     heavy = heavy_keys(counts.select("entry_key", "n"), ["entry_key"])
     hits = lookup_join(theirs.select("entry_id", "entry_key", "confidence"), top, ["entry_key"], heavy)
-    none = lambda kind: F.lit(None).cast(kind)
-    both = hits.unionByName(paired.select("entry_id", none("string").alias("entry_key"), "confidence", "score", F.lit(1).cast("bigint").alias("tied"), "lexeme_id", none("decimal(38,0)").alias("tie")))
-    chosen = cut(both.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence", "score", "tied", "tie"), F.struct("score", -F.col("lexeme_id"))).alias("m")).select("entry_id", "m.*"), "chosen")
-    alone = chosen.filter(f"tie is null or tied <= {GROUP}").select("lexeme_id", "entry_id", "confidence", "score")
-
-    # the members of each large tie, by one kind of entry that has it
-    of = top.filter(f"tied > {GROUP}").groupBy("tie").agg(F.min_by(F.struct("entry_key", "score"), "entry_key").alias("m")).select("tie", "m.*")
-    members = kinds.select("entry_key", "score", "lex_key").join(of, ["entry_key", "score"]).select("tie", "lex_key")
-    ids = ours.select("lex_key", "lexeme_id").join(members, "lex_key").select("tie", "lexeme_id")
-    a = ranked(ids, ["tie"], "lexeme_id")
-    b = ranked(chosen.filter(f"tie is not null and tied > {GROUP}").select("tie", "entry_id", "confidence", "score"), ["tie"], "entry_id")
-    return alone.unionByName(a.join(b, ["tie", "rank"]).select("lexeme_id", "entry_id", "confidence", "score"))
+    best = hits.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence", "tied", "tie"), F.struct("score", -F.col("lexeme_id"))).alias("m")).select("entry_id", "m.*")
+    best = cut(best.withColumn("confidence", F.round(F.col("confidence") / F.col("tied"), 4)), "best")
+    alone = best.filter("tied = 1").select("lexeme_id", "entry_id", "confidence")
+
+    # the members of each tie, by one kind of entry that has it
+    of = top.filter("tied > 1").groupBy("tie").agg(F.min_by(F.struct("entry_key", "score"), "entry_key").alias("m")).select("tie", "m.*")
+    members = kinds.join(of, ["entry_key", "score"]).select("tie", "lex_key")
+    a = ranked(ours.select("lex_key", "lexeme_id").join(members, "lex_key").select("tie", "lexeme_id"), ["tie"], "lexeme_id")
+    b = ranked(best.filter("tied > 1").select("tie", "entry_id", "confidence", "tied"), ["tie"], "entry_id")
+    turn = b.withColumn("rank", F.pmod("rank", "tied"))
+    return alone.unionByName(a.join(turn, ["tie", "rank"]).select("lexeme_id", "entry_id", "confidence"))
