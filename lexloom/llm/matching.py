@@ -38,9 +38,9 @@ GRAM_BUCKETS = 1 << 14
 SIZE, SEED = 32, 7
 WALKS, FEWEST, MOST, LENGTH, HOP = 80_000, 4, 40, 8, 0.05
 #: The share of single errors that the tables must hold, by the errors tried on names of the sample, and the most tables there can be.
-RECALL, MOST_TABLES = 0.96, 256
+RECALL, MOST_TABLES = 0.97, 256
 #: Hyperplanes that a searched name is closest to, on both sides of which it is looked for.
-FLIPS = 2
+FLIPS = 3
 #: A suffix rule must hold for this share of the forms with its mark.
 RULE_SHARE = 0.02
 
@@ -245,7 +245,7 @@ def fit_space(lex: DataFrame, views: DataFrame, trained: bool = True) -> NameSpa
         tokens = np.random.default_rng(SEED).normal(size=(TOKENS, SIZE))
     space = NameSpace(tokens, np.zeros(SIZE))
     space.mean = space.vectors(names).mean(axis=0) if names else space.mean
-    # 2000 errors tell a share of 0.96 to 0.01
+    # 2000 errors tell a share of 0.97 to 0.01
     space.plan([names[i] for i in np.random.default_rng(SEED).permutation(len(names))[:2000]], lex.select(F.count_distinct("name")).first()[0])
     return space
 
@@ -499,13 +499,13 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
     return _chosen(named, lex)
 
 
-def _scored(named: DataFrame, lex: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame) -> DataFrame:
     """Pairs of an entry and a lexeme of its name, without clashes of classes, with what speaks for them as `score`."""
     clash = F.col("cls").isNotNull() & F.col("lex_cls").isNotNull() & (F.col("cls") != F.col("lex_cls"))
     agree = F.coalesce((F.col("cls") == F.col("lex_cls")).cast("int"), F.lit(0)) - clash.cast("int")
     shared = F.size(F.array_intersect("entry_forms", "lex_forms"))
     score = F.struct("by_last", (-F.col("lemma_near")).alias("near"), agree.alias("agree"), (F.col("raw") == F.col("lex_raw")).cast("int").alias("raw"), shared.alias("shared"), "cosine")
-    return named.join(lex, "name").filter(~(clash & F.col("sure_cls"))).withColumn("score", score)
+    return pairs.filter(~(clash & F.col("sure_cls"))).withColumn("score", score)
 
 
 _SAID = ["name", "cls", "sure_cls", "raw", "entry_forms", "by_last", "lemma_near", "cosine"]
@@ -518,14 +518,19 @@ def _chosen(named: DataFrame, lex: DataFrame) -> DataFrame:
 
     Lexemes of a name that say the same, and entries that say the same of it, are one row
     each; these are compared pair by pair, so the work grows with the number of different
-    ones, whatever the number of rows.
+    ones, whatever the number of rows. A lexeme without homonyms ties with none and meets its
+    entries at once.
     """
     from ..operators.skew import heavy_keys, lookup_join
     from .ranking import ranked
 
-    said = lambda cols: F.md5(F.to_json(F.struct(*cols)))
-    ours = cut(lex.withColumn("lex_key", said(["name", "cls", "raw", "forms"])), "lexeme-kinds")
-    theirs = cut(named.withColumn("entry_key", said(_SAID)), "entry-kinds")
+    said = lambda cols: F.unhex(F.md5(F.to_json(F.struct(*cols))))
+    by_name = cut(lex.groupBy("name").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(d) for c, d in (("lexeme_id", "lexeme_id"), ("cls", "lex_cls"), ("raw", "lex_raw"), ("forms", "lex_forms"))]), "by-name")
+    busy = heavy_keys(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")), ["name"])
+    lonely = _scored(lookup_join(named, by_name.filter("k = 1").drop("k"), ["name"], busy))
+    homonyms = by_name.filter("k > 1").select("name")
+    ours = cut(lex.join(homonyms, "name", "left_semi").withColumn("lex_key", said(["name", "cls", "raw", "forms"])), "lexeme-kinds")
+    theirs = cut(named.join(homonyms, "name", "left_semi").withColumn("entry_key", said(_SAID)), "entry-kinds")
     lex_kinds = ours.groupBy("lex_key").agg(
         F.first("name").alias("name"), F.first("cls").alias("lex_cls"), F.first("raw").alias("lex_raw"), F.first("forms").alias("lex_forms"),
         F.count(F.lit(1)).alias("k"), F.min("lexeme_id").alias("lexeme_id"),
@@ -533,14 +538,15 @@ def _chosen(named: DataFrame, lex: DataFrame) -> DataFrame:
     counts = theirs.groupBy("entry_key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in _SAID])
     entry_kinds = counts.withColumn("name", F.struct("name", F.pmod(F.xxhash64("entry_key"), F.lit(SALTS)).alias("salt")))
     salted = lex_kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumn("name", F.struct("name", "salt")).drop("salt")
-    kinds = cut(_scored(entry_kinds, salted).select("entry_key", "score", "k", "lexeme_id", "lex_key"), "kinds")
+    kinds = cut(_scored(entry_kinds.join(salted, "name")).select("entry_key", "score", "k", "lexeme_id", "lex_key"), "kinds")
     # the lexemes that tie for an entry are told by the sum of their kinds' hashes
     ties = kinds.groupBy("entry_key", "score").agg(
         F.sum("k").alias("tied"), F.min("lexeme_id").alias("lexeme_id"), F.sum(F.xxhash64("lex_key").cast("decimal(38,0)")).alias("tie"),
     )
     top = cut(ties.groupBy("entry_key").agg(F.max_by(F.struct("score", "tied", "lexeme_id", "tie"), "score").alias("m")).select("entry_key", "m.*"), "best-kinds")
     heavy = heavy_keys(counts.select("entry_key", "n"), ["entry_key"])
-    hits = lookup_join(theirs.select("entry_id", "entry_key", "confidence"), top, ["entry_key"], heavy)
+    hits = lookup_join(theirs.select("entry_id", "entry_key", "confidence"), top, ["entry_key"], heavy).drop("entry_key")
+    hits = hits.unionByName(lonely.select("entry_id", "confidence", "score", F.lit(1).cast("bigint").alias("tied"), "lexeme_id", F.lit(None).cast("decimal(38,0)").alias("tie")))
     best = hits.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence", "tied", "tie"), F.struct("score", -F.col("lexeme_id"))).alias("m")).select("entry_id", "m.*")
     best = cut(best.withColumn("confidence", F.round(F.col("confidence") / F.col("tied"), 4)), "best")
     alone = best.filter("tied = 1").select("lexeme_id", "entry_id", "confidence")
