@@ -16,19 +16,31 @@ _SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
 @atexit.register
 def clear_written() -> None:
-    """Delete the tables that cut() wrote; called when Python ends."""
+    """Delete the tables that cut() wrote and nobody discarded; called when Python ends."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+            _delete(*_WRITTEN.pop())
         except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
             return
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that no later step reads: what was built on them must have been written by cut() itself."""
+    for df in tables:
+        path = getattr(df, "_lexloom_path", None)
+        if path:
+            _WRITTEN.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
 def build_session(app: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine assumes: AQE with skew handling, UTC, Arrow."""
     b = SparkSession.builder.appName(app)
@@ -86,4 +98,6 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/lexloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lexloom_path = path
+    return table
