@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 # ---- fixed values -------------------------------------------------------------------
 #: Spellings of one sound, folded for comparison.
@@ -280,11 +280,8 @@ def _keyed(names: DataFrame, space: Broadcast, prefix: str, tables: range, flips
     return names.select("name").mapInArrow(key, f"key bigint, {prefix}_name string")
 
 
-_NAMES = "left_name string, right_name string, near int, cosine double"
-
-
 def name_pairs(left: DataFrame, right: DataFrame, space: NameSpace) -> DataFrame:
-    """(left_name, right_name, near, cosine) of distinct names (name, asked) that share a bucket and are at most one error apart.
+    """(left_name, right_name) of distinct names (name, asked) that share a bucket and are at most one error apart.
 
     Equal names share every bucket, so one table finds them. The names of `right` that are
     `asked` for and found no equal one there go on to all tables, and are looked for on both
@@ -293,12 +290,10 @@ def name_pairs(left: DataFrame, right: DataFrame, space: NameSpace) -> DataFrame
     """
     shared = left.sparkSession.sparkContext.broadcast(space)
 
-    def compare(batches):
+    def exact(batches):
         for batch in batches:
-            near = np.array([_near(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int32)
-            kept = batch.filter(pa.array(near < 2))
-            va, vb = (shared.value.vectors(kept.column(k).to_pylist()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(near[near < 2]), pa.array(np.einsum("ij,ij->i", va, vb))], names=[x.split()[0] for x in _NAMES.split(", ")])
+            near = [_near(x, y) < 2 for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(near, pa.bool_()))
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
         # two letters swapped are a distance of two
@@ -306,11 +301,11 @@ def name_pairs(left: DataFrame, right: DataFrame, space: NameSpace) -> DataFrame
 
     names = left.filter("name <> ''").select("name").distinct()
     others = right.filter("name <> ''").groupBy("name").agg(F.max("asked").alias("asked"))
-    first = cut(met(_keyed(names, shared, "left", range(1)), _keyed(others, shared, "right", range(1))).filter("left_name = right_name").mapInArrow(compare, _NAMES), "equal-names")
+    first = cut(met(_keyed(names, shared, "left", range(1)), _keyed(others, shared, "right", range(1))).filter("left_name = right_name"), "equal-names")
     open_ = others.filter("asked").join(first.select(F.col("right_name").alias("name")), "name", "left_anti")
     tables = range(space.tables)
-    more = met(_keyed(names, shared, "left", tables), _keyed(open_, shared, "right", tables, FLIPS)).distinct().mapInArrow(compare, _NAMES)
-    return first.unionByName(more)
+    more = met(_keyed(names, shared, "left", tables), _keyed(open_, shared, "right", tables, FLIPS)).distinct()
+    return first.unionByName(more.mapInArrow(exact, more.schema))
 
 
 def suffix_rules(entries: DataFrame, particles: frozenset[str]) -> dict[str, list[tuple[str, str, float]]]:
@@ -359,7 +354,7 @@ def stems_of(forms: list[tuple[str, str]], rules: dict[str, list[tuple[str, str,
     return {s: v / n for s, v in votes.items()}
 
 
-_VIEWS = "entry_id string, name string, raw string, kind string, weight double, last boolean, cls string, sure_cls boolean, forms array<string>"
+_VIEWS = "entry_id string, name string, raw string, kind string, weight double, last boolean, cls string, sure_cls boolean, forms array<string>, lemmas array<string>"
 
 
 def entry_views(entries: DataFrame, rules: dict, particles: frozenset[str]) -> DataFrame:
@@ -374,16 +369,16 @@ def entry_views(entries: DataFrame, rules: dict, particles: frozenset[str]) -> D
                 forms = [(fold_name(f["form"], particles), f["msd"]) for f in word_forms or [] if f and f["form"] and not f["form"].endswith("-")]
                 told = class_of_forms([f["msd"] for f in word_forms or [] if f])
                 folded = sorted({f for f, _ in forms})
-                common = (told or word_class(upos), told is not None, folded)
                 names = [x for x in lemmas or [] if x]
+                common = (told or word_class(upos), told is not None, folded, [fold_name(x, particles) for x in names])
                 for k, x in enumerate(names):
-                    out.append((entry, fold_name(x, particles), x.strip(), "lemma", 1.0, k == len(names) - 1, *common))
+                    out.append((entry, common[-1][k], x.strip(), "lemma", 1.0, k == len(names) - 1, *common))
                 stems = stems_of(forms, rules)
                 for s, w in sorted(stems.items()):
                     if w >= 0.5:
                         out.append((entry, s, "", "stem", w, False, *common))
-            cells = list(zip(*out)) if out else [[] for _ in range(9)]
-            types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+            cells = list(zip(*out)) if out else [[] for _ in range(10)]
+            types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=[x.split()[0] for x in _VIEWS.split(", ")])
 
     return entries.select("entry_id", "upos", "lemmas", "word_forms").mapInArrow(views, _VIEWS)
@@ -455,6 +450,26 @@ def _calibrated(rows: DataFrame, value: str, truth: Column) -> Column:
     return F.when(F.col(value).isNotNull(), out)
 
 
+def _lemmas_near(said: DataFrame, space: NameSpace) -> DataFrame:
+    """`said` with the fewest errors between its name and a lemma, and the last lemma (null from two on), and the best cosine of such a lemma."""
+    shared = said.sparkSession.sparkContext.broadcast(space)
+
+    @F.arrow_udf("struct<lemma_near: int, last_near: int, lemma_cosine: double>")
+    def compare(names: pa.Array, lemmas: pa.Array) -> pa.Array:
+        names, lemmas = names.to_pylist(), lemmas.to_pylist()
+        near = [[_near(name, x) for x in mine or []] for name, mine in zip(names, lemmas)]
+        best = [min(n, default=2) for n in near]
+        cosine = [1.0 if k == 0 else None for k in best]
+        at = [(i, x) for i, k in enumerate(best) if k == 1 for x, n in zip(lemmas[i], near[i]) if n == 1]
+        a, b = shared.value.vectors([names[i] for i, _ in at]), shared.value.vectors([x for _, x in at])
+        for (i, _), c in zip(at, np.einsum("ij,ij->i", a, b).tolist()):
+            cosine[i] = max(c, cosine[i] or -1.0)
+        few = lambda ks: pa.array([k if k < 2 else None for k in ks], pa.int32())
+        return pa.StructArray.from_arrays([few(best), few([n[-1] if n else 2 for n in near]), pa.array(cosine, pa.float64())], names=["lemma_near", "last_near", "lemma_cosine"])
+
+    return said.withColumn("__near", compare("left_name", "lemmas")).select("*", "__near.*").drop("__near", "lemmas")
+
+
 def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) -> DataFrame:
     """(lexeme_id, entry_id, confidence): at most one lexeme for each entry.
 
@@ -470,18 +485,18 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
     views = cut(entry_views(entries, rules, particles), "views")
     lex = cut(lexeme_views(lexemes, slots, particles).filter("name <> ''"), "lexemes")
     space = fit_space(lex, views)
-    pairs = cut(name_pairs(lex, views.select("name", (F.col("kind") == "lemma").alias("asked")), space), "names")
+    # forms that show a name say more than a lemma one error from it: lemmas are searched for where there are no forms
+    asked = views.select("name", ((F.col("kind") == "lemma") & (F.size("forms") == 0)).alias("asked"))
+    pairs = cut(name_pairs(lex, asked, space), "names")
 
-    # what an entry says for each name: of its lemmas, of its forms
+    # what an entry says for each name it meets: its forms, and all its lemmas
     said = views.join(pairs.withColumnRenamed("right_name", "name"), "name").groupBy("entry_id", "left_name").agg(
-        F.min(F.when(F.col("kind") == "lemma", F.col("near"))).alias("lemma_near"),
-        F.max(F.when(F.col("kind") == "lemma", F.col("cosine"))).alias("lemma_cosine"),
-        F.min(F.when((F.col("kind") == "lemma") & F.col("last"), F.col("near"))).alias("last_near"),
-        F.max(F.when((F.col("kind") == "stem") & (F.col("near") == 0), F.col("weight"))).alias("stem"),
+        F.max(F.when((F.col("kind") == "stem") & (F.col("name") == F.col("left_name")), F.col("weight"))).alias("stem"),
         F.max_by("raw", F.struct(F.col("last"), F.col("kind"))).alias("raw"),
-        F.first("cls").alias("cls"), F.first("sure_cls").alias("sure_cls"), F.first("forms").alias("forms"),
+        F.first("cls").alias("cls"), F.first("sure_cls").alias("sure_cls"), F.first("forms").alias("forms"), F.first("lemmas").alias("lemmas"),
     )
-    said = cut(said, "said")
+    said = cut(_lemmas_near(said, space), "said")
+    discard(views, pairs)
     has_forms = F.size("forms") > 0
     # lemmas and forms are two witnesses: each is calibrated on what the other says
     lemma_p = _calibrated(said.filter(has_forms & F.col("lemma_cosine").isNotNull()), "lemma_cosine", F.coalesce("stem", F.lit(0.0)) >= 0.5)
@@ -496,7 +511,9 @@ def match_entities(lexemes: DataFrame, slots: DataFrame, entries: DataFrame) ->
         F.coalesce("lemma_near", F.lit(2)).alias("lemma_near"), (~has_forms & F.col("last_near").isNotNull()).cast("int").alias("by_last"),
         F.round(F.coalesce("lemma_cosine", F.lit(0.0)), 3).alias("cosine"), F.round(confidence, 4).alias("confidence"),
     )
-    return _chosen(named, lex)
+    out = _chosen(named, lex)
+    discard(said, lex)
+    return out
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -549,6 +566,7 @@ def _chosen(named: DataFrame, lex: DataFrame) -> DataFrame:
     hits = hits.unionByName(lonely.select("entry_id", "confidence", "score", F.lit(1).cast("bigint").alias("tied"), "lexeme_id", F.lit(None).cast("decimal(38,0)").alias("tie")))
     best = hits.groupBy("entry_id").agg(F.max_by(F.struct("lexeme_id", "confidence", "tied", "tie"), F.struct("score", -F.col("lexeme_id"))).alias("m")).select("entry_id", "m.*")
     best = cut(best.withColumn("confidence", F.round(F.col("confidence") / F.col("tied"), 4)), "best")
+    discard(by_name, theirs)
     alone = best.filter("tied = 1").select("lexeme_id", "entry_id", "confidence")
 
     # the members of each tie, by one kind of entry that has it
