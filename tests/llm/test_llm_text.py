@@ -270,6 +270,9 @@ CASES = [
     ("Please enable JavaScript to view this entry.", True), ("502 Bad Gateway\n\n", True), ('{"error": "not_found", "status": 404}', True), ("undefined, v.\n" + NATURAL, True), ("Test test test test test test", True),
     (NATURAL, False), ("The article template writes {{ form_1 }} for the headword; the exporter replaces it for every row.", False), ("Felmeddelandet Internal Server Error nämns i 85 loggrader från förra körningen.", False),
     ("", False), (None, False), (" \n\t", False), ("\xa0", False),
+    ("Please turn on scripting in your browser to open the dictionary.", True), ("Sidan kan inte visas utan javascript, slå på det i webbläsaren.", True), ("Die angeforderte Seite ist leider nicht mehr verfügbar.", True),
+    ("Något gick fel när ordet skulle hämtas, försök igen senare.", True), ("Ordet [form_10] böjs som {{ mall_2 }}.", True), ("Hej ${name}, din sida @@CLASS_A@@ är ändrad.", True), ("asdf jklö asdf qwer zxcv", True),
+    ("The log of the run mentions the message 503 Service Unavailable in 12 lines.", False), ("kliva +er [kliv>kl] pl. +en", False), ("H<sup>2</sup>O and x<sub>1</sub>", False), ("10:12:13 DEBUG row 12 of page 3 was read", False),
 ]
 
 
@@ -284,6 +287,18 @@ def test_residue(spark):
     assert found == {i for i, (_, bad) in enumerate(CASES) if bad}
 
 
+@pytest.mark.parametrize("without,texts", [
+    ("scripts", ["This page doesn't work without scripts; please try again.", "Sidan kunde inte visas, försök igen senare."]), ("failures", ["500 Internal Server Error", "Please turn on javascript to continue reading."]),
+])
+def test_residue_with_a_kind_left_out(spark, without, texts):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice(["flö", "kra", "smy", "båd", "tvi"]) for _ in range(4))
+    df = spark.createDataFrame([(i, NATURAL.replace("{w}", word())) for i in range(1000)] + [(2000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = residue.fit_residue(df, "text", without)
+    found = {r.doc_id for r in df.filter(residue.has_residue(df, "text", model)).collect()}
+    assert 2000 + len(texts) - 1 in found and not [i for i in found if i < 1000]
+
+
 def test_residue_with_many_copies(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["flö", "kra", "smy", "båd", "tvi"]) for _ in range(4))
