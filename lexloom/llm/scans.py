@@ -1,12 +1,12 @@
 """Repair of text from scanned pages: furniture, words broken across lines, misread words.
 
 Lines of all readings are first laid out as rows that know their place on the page and
-their neighbours. A boosted line classifier, fitted to lines that repeat at page edges,
-finds furniture; a boosted line-pair classifier, fitted to hyphens within lines and to
-joins that give printed words, finds broken words. Unknown words meet the printed
-vocabulary in an inverted join on positional grams (a prefix or a suffix of each word, one
-of which survives any single misreading); a boosted ranker, fitted to words that two
-readings of one page disagree about, chooses the replacement or keeps the word.
+their neighbours. A boosted line classifier, fitted to lines that repeat at page edges or have the
+shape of furniture there, finds furniture; a boosted line-pair classifier, fitted to hyphens
+within lines and at their ends, finds broken words. Unknown words meet the printed
+vocabulary in an inverted join on their rarest character q-grams, one of which survives any
+single misreading; a boosted ranker, fitted to words that two readings of one page disagree
+about, chooses the replacement or keeps the word.
 """
 
 from __future__ import annotations
@@ -169,7 +169,6 @@ def line_features(line: str, page_no: int | None, odds: np.ndarray, vocabulary:
         float(any(_page_match(t, page_no) for t in tokens)),
         sum(_is_number(t) for t in tokens) / n,
         sum(c.isupper() for c in letters) / max(len(letters), 1),
-        float(line_shape(line, page_no) is not None),
         float(g.mean()), float(g.sum()),
         float(line.rstrip().endswith(".")),
         float(any(t[0] in "+→" for t in tokens)),
@@ -297,11 +296,10 @@ def fit_lines(lines: DataFrame, vocabulary: frozenset[str], fit_rows: int = FIT_
     for a, b in mid:
         x.append(model.pair_features(a, b))
         y.append(0.0)
+    # where a word stands tells, not how it looks: within a line it isn't broken, at the end it nearly always is
     for a, b in ends:
-        f = model.pair_features(a, b)
-        if f[5] or f[1] or not f[0]:
-            x.append(f)
-            y.append(1.0)
+        x.append(model.pair_features(a, b))
+        y.append(1.0)
     model.joins = BoostedTrees(rounds=30, depth=2).fit(np.array(x).reshape(len(y), len(x[0]) if x else 1), np.array(y))
     return model
 
@@ -396,40 +394,83 @@ def _read_line(row: tuple, furniture: bool, previous: str | None, following: str
 _PAIR = "token string, word string, printed string, read string, at double, tail boolean"
 
 
-def _gram_keys(dictionary: DataFrame) -> DataFrame:
-    """Each printed word under its two positional grams: with its length, a prefix and a suffix.
+#: Letters of the grams of words, and how many of a word's grams one misread stretch of two characters can touch.
+Q, TOUCHED = 2, 3
+#: The most frequent grams whose counts order them; all others are rarer.
+COMMON_GRAMS = 4096
+#: Words so short that a stretch can touch all their grams meet by what a stretch leaves of them.
+SHORT = 3
+
+
+def word_grams(word: str) -> list[str]:
+    """The character q-grams of a word, its ends marked, the nth of its kind numbered."""
+    s = "^" * (Q - 1) + word + "$" * (Q - 1)
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(s) - Q + 1):
+        g = s[i : i + Q]
+        out.append(g if not seen[g] else f"{g}{seen[g]}")
+        seen[g] += 1
+    return out
+
+
+def _gram_ranks(dictionary: DataFrame) -> dict[str, int]:
+    """How frequent the COMMON_GRAMS most frequent grams of all printed words are."""
+
+    def count(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                total.update(word_grams(w))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+
+    rows = dictionary.select("word").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in rows.orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS).collect()}
 
-    They leave two characters between them, so one misread stretch of at most two
-    characters spares the prefix or the suffix.
+
+def _word_keys(word: str, ranks: dict[str, int], lengths: tuple[int, ...]) -> list[str]:
+    """The keys of a word for words of any of `lengths`: its TOUCHED + 1 rarest grams, or what stretches leave of it.
+
+    Two words that differ in one stretch of at most two characters lose TOUCHED grams each at
+    most, so that many of the rarest and one more have one in common.
     """
-    n = F.length("word")
-    half = F.floor(n / 2).cast("int")
-    p = F.greatest(half - 1, F.lit(0))
-    s = F.greatest(n - half - 1, F.lit(0))
-    return dictionary.select(
-        "word",
-        F.explode(F.array(
-            F.concat_ws("|", n, F.lit("p"), F.substring("word", 1, p)),
-            F.concat_ws("|", n, F.lit("s"), F.when(s > 0, F.expr("right(word, greatest(length(word) - int(floor(length(word) / 2)) - 1, 0))")).otherwise("")),
-        )).alias("key"),
-    )
+    n = len(word)
+    rare = sorted(word_grams(word), key=lambda g: (ranks.get(g, 0), g))[: TOUCHED + 1]
+    keys = [f"{m}|{g}" for m in lengths if min(m, n) > SHORT for g in rare]
+    if any(min(m, n) <= SHORT for m in lengths):
+        left = {f"{word[:i]}\1{word[i + k :]}" for k in range(3) for i in range(n - k + 1)}
+        keys += [f"{m}{x}" for m in lengths if min(m, n) <= SHORT for x in left]
+    return keys
 
 
-def _token_keys(tokens: DataFrame) -> DataFrame:
-    keys = []
-    for d in (-1, 0, 1):
-        n = f"(length(token) + {d})"
-        half = f"int(floor({n} / 2))"
-        keys.append(F.expr(f"concat_ws('|', {n}, 'p', left(token, greatest({half} - 1, 0)))"))
-        keys.append(F.expr(f"concat_ws('|', {n}, 's', right(token, greatest({n} - {half} - 1, 0)))"))
-    return tokens.select("token", F.explode(F.array(*keys)).alias("key"))
+def _keyed(words: DataFrame, column: str, ranks: dict[str, int], index: bool) -> DataFrame:
+    """(column, key): words under their keys; printed words (`index`) for their own length and shorter tokens, tokens for lengths that differ by one."""
+    shared = words.sparkSession.sparkContext.broadcast(ranks)
+
+    def keys(batches):
+        for batch in batches:
+            out = []
+            for w in batch.column(0).to_pylist():
+                n = len(w)
+                if index:
+                    # a short token meets any printed word by what stretches leave of it
+                    mine = [f"{n}|{g}" for g in sorted(word_grams(w), key=lambda g: (shared.value.get(g, 0), g))[: TOUCHED + 1]] if n > SHORT else []
+                    if n <= SHORT + 1:
+                        mine += [f"{n}{x}" for x in {f"{w[:i]}\1{w[i + k :]}" for k in range(3) for i in range(n - k + 1)}]
+                else:
+                    mine = _word_keys(w, shared.value, (n - 1, n, n + 1))
+                out += [(w, k) for k in mine]
+            cells = list(zip(*out)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.string()), pa.array(cells[1], pa.string())], names=[column, "key"])
+
+    return words.select(column).mapInArrow(keys, f"{column} string, key string")
 
 
 def _compare(batches):
     """Keep the pairs that differ in one stretch of at most two characters, with that stretch."""
     for batch in batches:
         out = []
-        for token, word, key in zip(*(c.to_pylist() for c in batch.columns)):
+        for token, word in zip(*(c.to_pylist() for c in batch.columns)):
             m, n = len(token), len(word)
             a = 0
             while a < m and a < n and token[a] == word[a]:
@@ -439,9 +480,6 @@ def _compare(batches):
                 b += 1
             if m - b - a > 2 or n - b - a > 2:
                 continue
-            # a pair that both grams find is kept from the prefix
-            if key.split("|", 2)[1] == "s" and a >= max(n // 2 - 1, 0):
-                continue
             out.append((token, word, word[a : n - b], token[a : m - b], a / max(n, 1), b == 0))
         cells = list(zip(*out)) if out else [[] for _ in range(6)]
         types = [pa.string()] * 4 + [pa.float64(), pa.bool_()]
@@ -449,19 +487,18 @@ def _compare(batches):
 
 
 def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(token, word, printed, read, at, tail): printed words one misread stretch away from a token."""
-    return _token_keys(tokens).join(_gram_keys(dictionary), "key").select("token", "word", "key").mapInArrow(_compare, _PAIR)
-
-
-def _op_bucket(printed: str, read: str) -> int:
-    return _fnv(printed + ">" + read) % OP_BUCKETS
+    """(token, word, printed, read, at, tail): printed words one misread stretch away from a token, from an inverted join on rare character grams."""
+    ranks = _gram_ranks(dictionary)
+    met = _keyed(tokens.filter("token <> ''"), "token", ranks, False).join(_keyed(dictionary.filter("word <> ''"), "word", ranks, True), "key")
+    # one stretch of two characters is a distance of two at most
+    return met.filter(F.levenshtein("token", "word", 2) >= 0).select("token", "word").distinct().mapInArrow(_compare, _PAIR)
 
 
 def _pair_features(cols: dict[str, list], ops: np.ndarray) -> np.ndarray:
     rows = []
-    for token, word, printed, read, at, tail, seen, known in zip(*(cols[c] for c in ("token", "word", "printed", "read", "at", "tail", "seen", "known"))):
+    for op, word, printed, read, at, tail, seen, known in zip(*(cols[c] for c in ("op", "word", "printed", "read", "at", "tail", "seen", "known"))):
         rows.append((
-            np.log1p(ops[_op_bucket(printed, read)]), float((printed, read) in _USUAL), len(word), at, float(tail),
+            np.log1p(ops[op]), float((printed, read) in _USUAL), len(word), at, float(tail),
             len(printed), len(read), np.log(seen), np.log1p(known or 0), np.log1p(known or 0) - np.log(seen),
             float(bool(read) and not read.isalpha()), float(at == 0),
         ))
@@ -473,7 +510,8 @@ def correct_words(words: DataFrame, dictionary: DataFrame, fit_rows: int = FIT_R
 
     `words` are the rows of kind `word`; `dictionary` (word) the printed words.
     """
-    seen = words.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.max("last").alias("cut_off"))
+    # a token that ends its text wherever it stands may be a word cut off
+    seen = words.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("last").alias("cut_off"))
     printed = dictionary.select("word").distinct()
     unknown = cut(seen.join(printed, seen.token == printed.word, "left_anti"), "unknown")
     known = seen.join(printed, seen.token == printed.word, "left_semi").select(F.col("token").alias("word"), F.col("seen").alias("known"))
@@ -481,12 +519,14 @@ def correct_words(words: DataFrame, dictionary: DataFrame, fit_rows: int = FIT_R
         candidate_pairs(unknown.select("token"), printed)
         .join(unknown, "token").join(known, "word", "left")
         # a word cut by the end of its text is no misreading
-        .filter(~(F.col("cut_off") & F.col("tail") & (F.length("read") < F.length("printed")) & F.col("word").startswith(F.col("token")))),
+        .filter(~(F.col("cut_off") & F.col("tail") & (F.length("read") < F.length("printed")) & F.col("word").startswith(F.col("token"))))
+        .withColumn("op", F.pmod(F.xxhash64("printed", "read"), F.lit(OP_BUCKETS)).cast("int")),
         "pairs",
     )
     ops = np.zeros(OP_BUCKETS)
-    for r in pairs.groupBy("printed", "read").count().filter("count > 1").toLocalIterator():
-        ops[_op_bucket(r.printed, r.read)] += r["count"]
+    often = pairs.groupBy("op", "printed", "read").count().filter("count > 1").groupBy("op").agg(F.sum("count").alias("n"))
+    for r in often.collect():  # OP_BUCKETS rows at most
+        ops[r.op] = r.n
 
     x, y = _double_read(words, pairs, ops, fit_rows)
     model = BoostedTrees(rounds=80).fit(x, y) if min(y.sum(), len(y) - y.sum()) >= 20 else None
@@ -526,10 +566,18 @@ def _double_read(words: DataFrame, pairs: DataFrame, ops: np.ndarray, fit_rows:
         "token", "word", F.when(F.col("same").isNull() & F.col("other").isNotNull(), 1).otherwise(0).alias("y")
     )
     rows = told.join(pairs, ["token", "word"]).collect()  # at most fit_rows
-    cols = {c: [r[c] for r in rows] for c in ("token", "word", "printed", "read", "at", "tail", "seen", "known")}
+    cols = {c: [r[c] for r in rows] for c in ("op", "word", "printed", "read", "at", "tail", "seen", "known")}
     return _pair_features(cols, ops), np.array([r.y for r in rows], float)
 
 
+def fixed_words(vocabulary: DataFrame, most: int = 1_000_000) -> frozenset[str]:
+    """The words of a vocabulary (word) that goes to every worker, in small letters; one of more than `most` rows is refused."""
+    rows = vocabulary.select(F.lower("word").alias("word")).filter("word is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} rows: give it as lemmas, which are joined")
+    return frozenset(r.word for r in rows)
+
+
 def words_origin() -> str:
     """The origin of readings by word; any other origin holds page texts."""
     return "ocr_words"
@@ -543,7 +591,7 @@ def find_noise(pages: DataFrame, readings: DataFrame, vocabulary: DataFrame, lem
     empty tables have no noise.
     """
     lines = cut(page_lines(pages, "runeberg_pages").unionByName(reading_lines(readings, words_origin())), "lines")
-    fixed = frozenset(r.word.lower() for r in vocabulary.select("word").filter("word is not null").collect())
+    fixed = fixed_words(vocabulary)
     model = fit_lines(lines, fixed)
     items = cut(read_lines(lines, model), "items")
     dictionary = vocabulary.select("word").unionByName(lemmas.select("word")).filter("word is not null")
