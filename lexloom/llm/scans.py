@@ -395,7 +395,7 @@ _PAIR = "token string, word string, printed string, read string, at double, tail
 
 
 #: Letters of the grams of words, and how many of a word's grams one misread stretch of two characters can touch.
-Q, TOUCHED = 2, 3
+Q, TOUCHED = 3, 4
 #: The most frequent grams whose counts order them; all others are rarer.
 COMMON_GRAMS = 4096
 #: Words so short that a stretch can touch all their grams meet by what a stretch leaves of them.
