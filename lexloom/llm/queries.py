@@ -120,14 +120,13 @@ def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _truncated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, sf, "runeberg_pages").select(F.col("page_id").alias("row_id"), F.col("page").alias("page_no"), "text", "source")
-    vocabulary = frozenset(r.word.lower() for r in table(spark, sf, "print_vocab").filter("word is not null").collect())
-    model = scans.fit_lines(cut(scans.page_lines(pages, "runeberg_pages"), "lines"), vocabulary)
+    model = scans.fit_lines(cut(scans.page_lines(pages, "runeberg_pages"), "lines"), scans.fixed_words(table(spark, sf, "print_vocab")))
     origin = lambda name: F.lit(name).alias("origin")
     articles = table(spark, sf, "match_candidates").select(origin("match_candidates"), F.col("candidate_id").alias("row_id"), F.col("article_text").alias("text"), F.col("article_text").alias("tail"))
     tails = truncation.page_tails(pages, model).select(origin("runeberg_pages"), "row_id", "text", "tail").unionByName(articles)
     # a reference names the first word of a headword of several
     headwords = table(spark, sf, "lexeme_slots").select(F.explode(F.array("lemma", F.split("lemma", " ")[0])).alias("headword"))
-    found = truncation.find_truncated(tails, headwords, truncation.abbreviations(tails, "text"))
+    found = truncation.find_truncated(tails, headwords, truncation.abbreviations(tails, "text"), pages)
     sources = pages.select(origin("runeberg_pages"), "row_id", "source", "text").unionByName(
         table(spark, sf, "match_candidates").select(origin("match_candidates"), F.col("candidate_id").alias("row_id"), "source", F.col("article_text").alias("text"))
     )
@@ -140,6 +139,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _truncated(spark, sf)[0].select("origin", "row_id")
 
 
+@_query
+def p5_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows, each with the rule that found it."""
+    return _truncated(spark, sf)[0].select("origin", "row_id", "rule")
+
+
 @_query
 def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
     """How often each source cuts its texts."""

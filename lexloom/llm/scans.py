@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,7 @@ def reading_lines(words: DataFrame, origin: str) -> DataFrame:
 # ---- lines ---------------------------------------------------------------------------
 
 _NUMBER = re.compile(r"[0-9lI|!ijOoQDZzSsBbgqGA]{1,4}\*?$")
-_NOT_NUMBER = re.compile(r"[^0-9]")
+_LETTERS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
 
 
 def _grams(line: str) -> list[int]:
@@ -119,6 +120,7 @@ def _grams(line: str) -> list[int]:
     return [_fnv(s[i : i + 3]) % GRAM_BUCKETS for i in range(len(s) - 2)]
 
 
+@lru_cache(maxsize=1 << 16)
 def _fnv(s: str) -> int:
     h = 2166136261
     for b in s.encode("utf-8"):
@@ -160,15 +162,16 @@ def line_shape(line: str, page_no: int | None) -> str | None:
 
 def line_features(line: str, page_no: int | None, odds: np.ndarray, vocabulary: frozenset[str]) -> list[float]:
     tokens = line.split()
-    letters = [c for c in line if c.isalpha()]
+    letters = "".join(_LETTERS.findall(line))
     g = odds[_grams(line)]
     n = max(len(tokens), 1)
+    size = len(line.strip())
     return [
-        len(tokens), len(line.strip()),
-        sum(c.isdigit() for c in line) / max(len(line.strip()), 1),
+        len(tokens), size,
+        len(_DIGIT.findall(line)) / max(size, 1),
         float(any(_page_match(t, page_no) for t in tokens)),
         sum(_is_number(t) for t in tokens) / n,
-        sum(c.isupper() for c in letters) / max(len(letters), 1),
+        sum(map(str.isupper, letters)) / max(len(letters), 1),
         float(g.mean()), float(g.sum()),
         float(line.rstrip().endswith(".")),
         float(any(t[0] in "+→" for t in tokens)),

@@ -1,11 +1,13 @@
 """Text cut off by field limits or in transfer.
 
-Values are sorted by range and compared with their neighbours: a value that is a strict
-prefix of any longer one is a prefix of the next distinct one, so one pass over sorted
-partitions (and one comparison at each border) finds them all, whatever prefix many values
-share. Where no longer copy exists the end itself decides: a complete text ends with a
-sentence or a reference, and the headword of a reference is looked up by a join on
-fixed-length prefixes, being cut if it's a strict prefix of a longer headword and none itself.
+Values are sorted by range and compared with the next ones: a value that is a strict prefix
+of any longer one is a prefix of the next distinct one, so one pass over sorted partitions
+(and what is open at each border) finds them all, whatever prefix many values share. Headwords
+of references go through the same pass: one is cut if it's a strict prefix of a longer headword
+and none itself. Texts also meet what other pages print: the hash of a fixed-length prefix is
+looked up among those that begin at every line, and the longer copy is compared in full. Where
+no longer copy exists the end itself decides: a complete text ends with a sentence or a
+reference.
 """
 
 from __future__ import annotations
@@ -24,48 +26,83 @@ from .scans import REFERENCE_MARKS, LineModel, _flags, broken_token
 CUT_MARKS = r"(\s|…|\.\.\.|\[…\]|\[\.\.\.\])+$"
 #: A dotted word is an abbreviation if it's as frequent as this share of all words, dotted this often.
 ABBREVIATION_SHARE, DOTTED_SHARE = 2e-4, 0.9
-PREFIX_TIERS = (8, 4, 2)
+#: Lengths of the prefixes by which texts are looked up in others: each text by the longest it has.
+PREFIX_TIERS = (256, 128, 64, 32)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (text, asked, whole): the asked ones that a later whole value begins with, the first whole value, and the asked ones still open."""
     import pyspark
 
     part = pyspark.TaskContext.get().partitionId()
-    last: str | None = None
+    open_: list[str] = []  # each a prefix of the next
     first = True
+    rows = lambda out: pa.RecordBatch.from_arrays(
+        [pa.array([part] * len(out), pa.int32()), pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], names=["part", "kind", "text"]
+    )
     for batch in batches:
         out = []
-        for text in batch.column(0).to_pylist():
-            if first:
-                out.append((part, "first", text))
-                first = False
-            elif text != last and text.startswith(last):
-                out.append((part, "prefix", last))
-            last = text
-        cells = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.string()), pa.array(cells[2], pa.string())], names=["part", "kind", "text"])
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(["last"]), pa.array([last])], names=["part", "kind", "text"])
-
-
-def strict_prefixes(values: DataFrame, column: str) -> DataFrame:
-    """The distinct values (text) that are strict prefixes of other values of the column.
-
-    Nulls and empty values aren't considered. Only the first and last value of each sorted
-    partition come to the driver.
+        for text, asked, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            while open_ and not text.startswith(open_[-1]):
+                open_.pop()
+            if whole:
+                out += [("prefix", t) for t in open_]
+                open_ = []
+                if first:
+                    out.append(("first", text))
+                    first = False
+            if asked:
+                open_.append(text)
+        yield rows(out)
+    yield rows([("open", t) for t in open_])
+
+
+def strict_prefixes(values: DataFrame, column: str, others: DataFrame | None = None) -> DataFrame:
+    """The distinct values (text) that are strict prefixes of other values of the column, or of `others`.
+
+    Nulls and empty values aren't considered. Of each sorted partition only its first whole
+    value and the values still open at its end, each a prefix of the next, come to the driver.
     """
-    texts = values.select(F.col(column).alias("text")).filter("text <> ''").distinct()
+    texts = values.select(F.col(column).alias("text"), F.lit(True).alias("asked"), F.lit(others is None).alias("whole"))
+    if others is not None:
+        texts = texts.unionByName(others.select(F.col(column).alias("text"), F.lit(False).alias("asked"), F.lit(True).alias("whole")))
+    texts = texts.filter("text <> ''").groupBy("text").agg(F.max("asked").alias("asked"), F.max("whole").alias("whole"))
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
     found = cut(ordered.mapInArrow(_neighbours, "part int, kind string, text string"), "prefixes")
-    borders = sorted(found.filter("kind <> 'prefix'").collect(), key=lambda r: (r.part, r.kind == "last"))
+    firsts = {r.part: r.text for r in found.filter("kind = 'first'").collect()}
     more = []
-    for a, b in zip(borders, borders[1:]):
-        if a.kind == "last" and b.text != a.text and b.text.startswith(a.text):
-            more.append((a.text,))
+    for r in found.filter("kind = 'open'").collect():
+        later = [p for p in firsts if p > r.part]
+        if later and firsts[min(later)].startswith(r.text):
+            more.append((r.text,))
     hits = found.filter("kind = 'prefix'").select("text")
     return hits.unionByName(values.sparkSession.createDataFrame(more, "text string")) if more else hits
 
 
+def longer_copies(values: DataFrame, pages: DataFrame) -> DataFrame:
+    """The distinct values (text) that a text of `pages` (text) goes on from, beginning at one of its lines: looked up by the hash of a fixed-length prefix, compared in full.
+
+    Lines of a page are read as one text; values shorter than the shortest prefix aren't
+    looked up. Equal values and equal pages are looked up once.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    asked = values.select("text").filter("text <> ''").distinct().withColumn("flat", flat("text"))
+    n = F.length("flat")
+    tier = F.lit(None).cast("int")
+    for t in reversed(PREFIX_TIERS):
+        tier = F.when(n >= t, t).otherwise(tier)
+    asked = asked.withColumn("tier", tier).filter("tier is not null").withColumn("key", F.expr("xxhash64(tier, left(flat, tier))"))
+    lines = pages.select("text").filter("text <> ''").distinct().select(F.expr("filter(transform(split(text, '\n'), x -> trim(regexp_replace(x, '\\\\s+', ' '))), x -> x <> '')").alias("lines"))
+    starts = lines.select("lines", F.posexplode("lines").alias("at", "line"))
+    # the text from a line on: as many lines as the longest prefix can need
+    window = F.expr(f"array_join(slice(lines, at + 1, {PREFIX_TIERS[0]}), ' ')")
+    offered = starts.select(window.alias("rest")).select("rest", F.explode(F.array(*[F.lit(t) for t in PREFIX_TIERS])).alias("tier"))
+    offered = offered.filter(F.length("rest") > F.col("tier")).withColumn("key", F.expr("xxhash64(tier, left(rest, tier))"))
+    # only starts that some value asks for keep their text
+    wanted = asked.select("tier", "key").distinct()
+    return offered.join(wanted, ["tier", "key"], "left_semi").join(asked, ["tier", "key"]).filter(F.col("rest").startswith(F.col("flat")) & (F.length("rest") > n)).select("text").distinct()
+
+
 def abbreviations(texts: DataFrame, column: str) -> frozenset[str]:
     """Words that always carry a full stop: fewer than 1 / ABBREVIATION_SHARE, from counts over all texts."""
     words = texts.select(F.explode(F.split(column, r"\s+")).alias("w")).filter("w <> ''")
@@ -92,19 +129,18 @@ def text_end(tail: str, short: frozenset[str]) -> tuple[bool | None, str | None]
 
 
 def page_tail(lines: list[str], model: LineModel, page_no: int | None) -> str:
-    """The last running text of a page, furniture aside, broken words joined."""
+    """The running text of a page, furniture aside, broken words joined."""
     n = len(lines)
-    some = lines[-8:]
-    window = [(x, n - len(some) + i, len(some) - 1 - i) for i, x in enumerate(some)]
-    p = model.furniture_odds([(x, page_no) for x in some])
-    running = [x for x, f in zip(some, _flags(window, [p[x, page_no] for x in some])) if not f]
-    out = ""
-    for x in running[-4:]:
-        if out and broken_token(out):
-            out = out.rstrip()[:-1] + x.strip()
+    p = model.furniture_odds([(x, page_no) for x in lines])
+    window = [(x, i, n - 1 - i) for i, x in enumerate(lines)]
+    running = [x for x, f in zip(lines, _flags(window, [p[x, page_no] for x in lines])) if not f]
+    out: list[str] = []
+    for x in running:
+        if out and broken_token(out[-1]):
+            out[-1] = out[-1].rstrip()[:-1] + x.strip()
         else:
-            out = f"{out} {x.rstrip() if x is not running[-1] else x}".lstrip(" ") if out else x
-    return out
+            out.append(x if x is running[-1] else x.strip())
+    return " ".join(out)
 
 
 def page_tails(pages: DataFrame, model: LineModel) -> DataFrame:
@@ -134,34 +170,32 @@ def _ends(tails: DataFrame, short: frozenset[str]) -> DataFrame:
 def cut_headwords(asked: DataFrame, headwords: DataFrame) -> DataFrame:
     """The headwords asked for that are no headword but a strict prefix of one: (headword).
 
-    Both sides meet on fixed-length prefixes (8, 4 or 2 characters, by the asked word's
-    length); single characters that are no headword count as cut.
+    Single characters that are no headword count as cut.
     """
-    asked = asked.select(F.col("headword").alias("asked")).filter("asked is not null").distinct()
-    known = headwords.select(F.col("headword").alias("known")).filter("known <> ''").distinct()
-    open_ = asked.join(known, asked.asked == known.known, "left_anti")
-    n = F.length("asked")
-    tier = F.when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(0)
-    keyed = open_.withColumn("key", F.expr("left(asked, case when length(asked) >= 8 then 8 when length(asked) >= 4 then 4 else 2 end)")).withColumn("tier", tier)
-    offered = known.select("known", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.expr(f"left(known, {t})").alias("key")) for t in PREFIX_TIERS])).alias("k")).select("known", "k.tier", "k.key")
-    # of the headwords with one prefix the longest match is enough: pairs are tested, not kept
-    longer = keyed.join(offered, ["tier", "key"]).filter(F.col("known").startswith(F.col("asked")) & (F.length("known") > n))
-    single = open_.filter(n < 2)
-    return longer.select(F.col("asked").alias("headword")).unionByName(single.select(F.col("asked").alias("headword"))).distinct()
-
-
-def find_truncated(tails: DataFrame, headwords: DataFrame, short: frozenset[str]) -> DataFrame:
-    """The rows of (origin, row_id, text, tail, ...) whose text is cut off.
-
-    Cut off are strict prefixes of longer texts that don't end a sentence, and texts whose
-    tail ends neither a sentence nor a reference to a headword. Null, empty and blank texts
-    are no cases; repeated rows are judged each; whole texts are compared.
+    asked = asked.select("headword").filter("headword <> ''").distinct()
+    known = headwords.select("headword").filter("headword <> ''").distinct()
+    open_ = asked.join(known, "headword", "left_anti")
+    longer = strict_prefixes(open_, "headword", known).withColumnRenamed("text", "headword")
+    return longer.unionByName(open_.filter(F.length("headword") < 2)).distinct()
+
+
+def find_truncated(tails: DataFrame, headwords: DataFrame, short: frozenset[str], pages: DataFrame | None = None) -> DataFrame:
+    """The rows of (origin, row_id, text, tail, ...) whose text is cut off, each with the `rule` that found it.
+
+    `longer_copy`: a strict prefix of a longer text, or of what a text of `pages` (text) prints
+    from one of its lines on, that doesn't end a sentence. `reference`: ends with a reference to
+    a cut headword. `open_end`: the tail ends neither a sentence nor a reference. Null, empty
+    and blank texts are no cases; repeated rows are judged each; whole texts are compared.
     """
-    judged = cut(_ends(tails, short), "ends")
+    judged = _ends(tails, short).withColumn("bare", F.regexp_replace("text", CUT_MARKS, "")).withColumn("bare_key", F.unhex(F.md5("bare")))
+    judged = cut(judged, "ends")
     cut_words = cut_headwords(judged.select("headword"), headwords).select("headword", F.lit(True).alias("cut_word"))
-    bare = judged.withColumn("bare", F.regexp_replace("text", CUT_MARKS, ""))
-    prefixes = strict_prefixes(bare, "bare").select(F.col("text").alias("bare"), F.lit(True).alias("has_longer"))
-    out = bare.join(cut_words, "headword", "left").join(prefixes, "bare", "left")
-    ended = F.col("bare").rlike(r"\.[\)\]»”\"]*$") & F.coalesce("complete", F.lit(True))
-    flagged = (~F.coalesce("complete", F.lit(True))) | F.coalesce("cut_word", F.lit(False)) | (F.coalesce("has_longer", F.lit(False)) & ~ended)
-    return out.filter(flagged).select(*tails.columns)
+    longer = strict_prefixes(judged, "bare")
+    if pages is not None:
+        longer = longer.unionByName(longer_copies(judged.select(F.col("bare").alias("text")), pages)).distinct()
+    longer = longer.select(F.unhex(F.md5("text")).alias("bare_key"), F.lit(True).alias("has_longer"))
+    out = judged.join(cut_words, "headword", "left").join(longer, "bare_key", "left")
+    whole = F.coalesce("complete", F.lit(True))
+    ended = F.col("bare").rlike(r"\.[\)\]»”\"]*$") & whole
+    rule = F.when(F.coalesce("has_longer", F.lit(False)) & ~ended, "longer_copy").when(F.coalesce("cut_word", F.lit(False)), "reference").when(~whole, "open_end")
+    return out.withColumn("rule", rule).filter("rule is not null").select(*tails.columns, "rule")
