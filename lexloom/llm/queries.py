@@ -124,6 +124,7 @@ def _truncated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     origin = lambda name: F.lit(name).alias("origin")
     articles = table(spark, sf, "match_candidates").select(origin("match_candidates"), F.col("candidate_id").alias("row_id"), F.col("article_text").alias("text"), F.col("article_text").alias("tail"))
     tails = truncation.page_tails(pages, model).select(origin("runeberg_pages"), "row_id", "text", "tail").unionByName(articles)
+    tails = cut(tails, "tails")
     # a reference names the first word of a headword of several
     headwords = table(spark, sf, "lexeme_slots").select(F.explode(F.array("lemma", F.split("lemma", " ")[0])).alias("headword"))
     found = truncation.find_truncated(tails, headwords, truncation.abbreviations(tails, "text"), pages)

@@ -88,19 +88,19 @@ def longer_copies(values: DataFrame, pages: DataFrame) -> DataFrame:
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     asked = values.select("text").filter("text <> ''").distinct().withColumn("flat", flat("text"))
     n = F.length("flat")
-    tier = F.lit(None).cast("int")
-    for t in reversed(PREFIX_TIERS):
-        tier = F.when(n >= t, t).otherwise(tier)
-    asked = asked.withColumn("tier", tier).filter("tier is not null").withColumn("key", F.expr("xxhash64(tier, left(flat, tier))"))
-    lines = pages.select("text").filter("text <> ''").distinct().select(F.expr("filter(transform(split(text, '\n'), x -> trim(regexp_replace(x, '\\\\s+', ' '))), x -> x <> '')").alias("lines"))
-    starts = lines.select("lines", F.posexplode("lines").alias("at", "line"))
-    # the text from a line on: as many lines as the longest prefix can need
-    window = F.expr(f"array_join(slice(lines, at + 1, {PREFIX_TIERS[0]}), ' ')")
-    offered = starts.select(window.alias("rest")).select("rest", F.explode(F.array(*[F.lit(t) for t in PREFIX_TIERS])).alias("tier"))
-    offered = offered.filter(F.length("rest") > F.col("tier")).withColumn("key", F.expr("xxhash64(tier, left(rest, tier))"))
-    # only starts that some value asks for keep their text
-    wanted = asked.select("tier", "key").distinct()
-    return offered.join(wanted, ["tier", "key"], "left_semi").join(asked, ["tier", "key"]).filter(F.col("rest").startswith(F.col("flat")) & (F.length("rest") > n)).select("text").distinct()
+    own = " ".join(f"when length(flat) >= {t} then xxhash64({t}, left(flat, {t}))" for t in PREFIX_TIERS)
+    asked = asked.filter(n >= PREFIX_TIERS[-1]).withColumn("key", F.expr(f"case {own} end"))
+    each = pages.filter("text <> ''").groupBy(F.unhex(F.md5("text")).alias("page")).agg(F.first("text").alias("text"))
+    lines = each.select("page", F.expr("filter(transform(split(text, '\n'), x -> trim(regexp_replace(x, '\\\\s+', ' '))), x -> x <> '')").alias("lines"))
+    # a prefix of the longest kind needs no more lines than it has characters
+    start = F.expr(f"array_join(slice(lines, at + 1, {PREFIX_TIERS[0]}), ' ')")
+    starts = lines.select("page", "lines", F.posexplode("lines").alias("at", "line")).select("page", "at", start.alias("rest"))
+    keys = F.array(*[F.when(F.length("rest") > t, F.expr(f"xxhash64({t}, left(rest, {t}))")) for t in PREFIX_TIERS])
+    offered = starts.select("page", "at", F.explode(F.array_compact(keys)).alias("key"))
+    # keys meet without their texts; only what met is compared in full
+    met = offered.join(asked.select("key").distinct(), "key", "left_semi").join(lines, "page")
+    whole = met.select("key", F.expr("array_join(slice(lines, at + 1, size(lines)), ' ')").alias("rest"))
+    return whole.join(asked, "key").filter(F.col("rest").startswith(F.col("flat")) & (F.length("rest") > n)).select("text").distinct()
 
 
 def abbreviations(texts: DataFrame, column: str) -> frozenset[str]:

@@ -251,6 +251,24 @@ def test_strict_prefixes_against_brute_force(spark):
     assert got == {t for t in texts if t and any(u and u != t and u.startswith(t) for u in texts)}
 
 
+def test_strict_prefixes_of_others(spark):
+    rng = random.Random(5)
+    draw = lambda n: sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(n)})
+    asked, others = draw(60), draw(40)
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None]], "t string").repartition(5)
+    got = {r.text for r in truncation.strict_prefixes(frame(asked), "t", frame(others)).collect()}
+    assert got == {a for a in asked if a and any(o != a and o.startswith(a) for o in others)}
+
+
+def test_longer_copies(spark):
+    page = "Flibra 12\nen  artikel om ord\nsom går vidare över flera rader och\nslutar först här."
+    other = "x" * 400 + "\n" + "y" * 400
+    values = ["en artikel om ord som går vidare över fl", "en artikel om ord som går vidare över flera rader och slutar först här.", "artikel om ord som går vidare över flera", "x" * 300, "x" * 400 + " " + "y" * 399, "kort", "", None]
+    got = truncation.longer_copies(spark.createDataFrame([(v,) for v in values], "text string"), spark.createDataFrame([(page,), (page,), (other,), (None,)], "text string"))
+    assert sorted(r.text for r in got.collect()) == sorted([values[0], values[3], values[4]])
+    assert truncation.longer_copies(spark.createDataFrame([("a" * 40,)], "text string"), spark.createDataFrame([], "text string")).count() == 0
+
+
 def test_truncated(spark):
     heads = spark.createDataFrame([("flibrafäst",), ("smöriss",)], "headword string")
     data = [
@@ -259,6 +277,8 @@ def test_truncated(spark):
     ]
     df = spark.createDataFrame([("a", i, t, t) for i, t in data], "origin string, row_id long, text string, tail string")
     assert [r.row_id for r in truncation.find_truncated(df, heads, frozenset({"pl"})).orderBy("row_id").collect()] == [2, 4, 6, 7, 11]
+    rules = {r.row_id: r.rule for r in truncation.find_truncated(df, heads, frozenset({"pl"})).collect()}
+    assert rules == {2: "open_end", 4: "reference", 6: "open_end", 7: "open_end", 11: "longer_copy"}
     assert truncation.find_truncated(df.limit(0), heads, frozenset()).count() == 0
 
 
