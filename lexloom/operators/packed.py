@@ -4,8 +4,9 @@ A dialect is a set of separators and a set of quoting styles. Every field is par
 every dialect whose separators and quotes occur in it; the values of all parses are coded
 by a first-order model over token classes, whose counts come from all fields (one weighted
 vote per parse, added up across the cluster); the cheapest dialect then parses the field.
-The class alphabet is bounded (labels, short suffixes, fixed marks), so the model that goes
-to the workers has at most MAX_CLASSES ** 2 entries whatever the data.
+The class alphabet is bounded: labels, fixed marks and the MAX_SUFFIXES most frequent short
+suffixes (any other is coded in raw letters), so the model that goes to the workers has at
+most (MAX_SUFFIXES + 40) ** 2 entries whatever the data. Equal fields are parsed once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, discard
+
 #: Fixed values of the notation: labels that stand before a form, separating words, nulls.
 LABELS = ("pl.", "best.", "sg.", "komp.", "superl.", "n.", "pres.", "pret.", "sup.", "imper.")
 WORD_SEPARATORS = ("el.", "ibl.", "_")
@@ -28,7 +31,9 @@ NO_VALUES = ("(null)", "null")
 QUOTES = {'"': '"', "“": "”", "»": "«"}
 
 SUFFIX_LETTERS = 5
-MAX_CLASSES = 4000
+MAX_SUFFIXES = 500
+#: Different fields that a worker remembers.
+REMEMBERED = 50_000
 #: A token of no known class is coded in raw bytes.
 _CHAR_BITS = 8.0
 _DIALECT_BITS = 2.0
@@ -143,7 +148,7 @@ def piece_values(piece: str) -> list[str]:
     return [v for v in values if v not in NO_VALUES and v not in WORD_SEPARATORS]
 
 
-def _classes(piece: str, quoted: bool) -> list[tuple[str, float]]:
+def _classes(piece: str, quoted: bool, suffixes: frozenset[str]) -> list[tuple[str, float]]:
     """The token classes that code a value, each with the bits its class leaves open."""
     out: list[tuple[str, float]] = [("<q>", 0.0)] if quoted else []
     for kind, _, _, t in piece_tokens(piece):
@@ -155,7 +160,7 @@ def _classes(piece: str, quoted: bool) -> list[tuple[str, float]]:
             continue
         mark = t[-1] if t[-1] in MARK_SEPARATORS and len(t) > 1 else ""
         t = t[: len(t) - len(mark)]
-        if _SUFFIX.match(t):
+        if t in suffixes:
             out.append((t, 0.0))
         elif _WORD.match(t):
             out.append(("<w>", 0.0))
@@ -195,14 +200,14 @@ def _parse(text: str, seps: frozenset[str], quotes: frozenset[str]) -> list[tupl
     return [p for body, quoted in pieces for p in ([(body, quoted)] if quoted else [(v, False) for v in piece_values(body) or [body]])]
 
 
-def _choose(text: str, cost: dict[tuple[str, str], float], unseen: float) -> list[tuple[str, bool]]:
+def _choose(text: str, cost: dict[tuple[str, str], float], unseen: float, suffixes: frozenset[str]) -> list[tuple[str, bool]]:
     best, chosen = math.inf, [(text.strip(), False)]
     for seps, quotes in dialects(text):
         pieces = _parse(text, seps, quotes)
         bits = _DIALECT_BITS * (len(seps) + len(quotes))
         for body, quoted in pieces:
             last = "<start>"
-            for cls, extra in _classes(body, quoted):
+            for cls, extra in _classes(body, quoted, suffixes):
                 bits += cost.get((last, cls), unseen) + extra
                 last = cls
             if bits >= best:
@@ -212,42 +217,46 @@ def _choose(text: str, cost: dict[tuple[str, str], float], unseen: float) -> lis
     return chosen
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: Counter[tuple[str, str]] = Counter()
-        for text in batch.column(0).to_pylist():
-            if not text or not text.strip():
-                continue
-            options = dialects(text)
-            for seps, quotes in options:
-                for body, quoted in _parse(text, seps, quotes):
-                    last = "<start>"
-                    for cls, _ in _classes(body, quoted):
-                        votes[last, cls] += 1 / len(options)
-                        last = cls
-        keys = list(votes)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()),
-             pa.array([votes[k] for k in keys], pa.float64())],
-            names=["prev", "cls", "votes"],
-        )
-
-
-def value_code(df: DataFrame, column: str) -> tuple[dict[tuple[str, str], float], float]:
-    """Bits of each class after each other, from all fields of `column`, and those of an unseen pair."""
-    counts = (
-        df.select(column)
-        .mapInArrow(_count_batches, "prev string, cls string, votes double")
-        .groupBy("prev", "cls")
-        .agg(F.sum("votes").alias("votes"))
-        .collect()
-    )
+        seen: Counter[str] = Counter()
+        for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t in re.split(r"[\s,;/|\"“”»«\[\]]+", text):
+                if _SUFFIX.match(t):
+                    seen[t] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["suffix", "n"])
+
+
+def value_code(df: DataFrame, column: str) -> tuple[dict[tuple[str, str], float], float, frozenset[str]]:
+    """Bits of each class after each other, from all fields of `column`, those of an unseen pair, and the suffixes that are classes."""
+    texts = cut(df.select(column).filter(F.trim(column) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n")), "fields")
+    often = texts.mapInArrow(_suffix_batches, "suffix string, n bigint").groupBy("suffix").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "suffix")
+    suffixes = frozenset(r.suffix for r in often.limit(MAX_SUFFIXES).collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes: Counter[tuple[str, str]] = Counter()
+            for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                options = dialects(text)
+                for seps, quotes in options:
+                    for body, quoted in _parse(text, seps, quotes):
+                        last = "<start>"
+                        for cls, _ in _classes(body, quoted, suffixes):
+                            votes[last, cls] += n / len(options)
+                            last = cls
+            keys = list(votes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([votes[k] for k in keys], pa.float64())], names=["prev", "cls", "votes"]
+            )
+
+    counts = texts.mapInArrow(count, "prev string, cls string, votes double").groupBy("prev", "cls").agg(F.sum("votes").alias("votes")).collect()
+    discard(texts)
     totals: Counter[str] = Counter()
     for r in counts:
         totals[r.prev] += r.votes
     alphabet = len({r.cls for r in counts}) + 1
     cost = {(r.prev, r.cls): math.log2((totals[r.prev] + alphabet) / (r.votes + 1)) for r in counts}
-    return cost, math.log2(max(totals.values(), default=1) + alphabet)
+    return cost, math.log2(max(totals.values(), default=1) + alphabet), suffixes
 
 
 def unpack_values(df: DataFrame, key: str, column: str, least: int = 1) -> DataFrame:
@@ -257,23 +266,31 @@ def unpack_values(df: DataFrame, key: str, column: str, least: int = 1) -> DataF
     Other columns of `df` are ignored, repeated rows are unpacked each. Fields of any
     length are parsed whole.
     """
-    cost, unseen = value_code(df, column)
-    shared = df.sparkSession.sparkContext.broadcast((cost, unseen))
+    shared = df.sparkSession.sparkContext.broadcast(value_code(df, column))
     kind = df.schema[key].dataType
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, rare = shared.value
-        for batch in batches:
-            rows, positions, values = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text or text.strip() in NO_VALUES or not text.strip():
-                    continue
+        known: dict[str, list[str]] = {}
+
+        def values_of(text: str) -> list[str]:
+            if text not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
                 found = []
-                for body, quoted in _choose(text, bits, rare):
+                for body, quoted in _choose(text, *shared.value):
                     if quoted:
                         found += [body] if body.strip() else []
                     else:
                         found += piece_values(body)
+                known[text] = found
+            return known[text]
+
+        for batch in batches:
+            rows, positions, values = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if not text or text.strip() in NO_VALUES or not text.strip():
+                    continue
+                found = values_of(text)
                 if len(found) >= least:
                     rows += [row] * len(found)
                     positions += range(1, len(found) + 1)
