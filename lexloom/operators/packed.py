@@ -229,7 +229,8 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def value_code(df: DataFrame, column: str) -> tuple[dict[tuple[str, str], float], float, frozenset[str]]:
     """Bits of each class after each other, from all fields of `column`, those of an unseen pair, and the suffixes that are classes."""
-    texts = cut(df.select(column).filter(F.trim(column) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n")), "fields")
+    texts = df.select(F.col(column).alias("__text")).filter(F.trim("__text") != "")
+    texts = cut(texts.groupBy("__text").agg(F.count(F.lit(1)).alias("__n")), "fields")
     often = texts.mapInArrow(_suffix_batches, "suffix string, n bigint").groupBy("suffix").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "suffix")
     suffixes = frozenset(r.suffix for r in often.limit(MAX_SUFFIXES).collect())
 
