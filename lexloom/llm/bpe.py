@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from functools import cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a Python worker; beyond, it starts afresh.
 CACHE_WORDS = 200_000
+#: Bytes from which on a word is merged with a heap.
+LONG_WORD = 100
 
 
 @cache
@@ -116,6 +119,8 @@ class Encoder:
 
     def exact(self, word: bytes) -> list[int]:
         """Merging by rank, for words whose proposal isn't confirmed."""
+        if len(word) > LONG_WORD:
+            return self._exact_long(word)
         parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
         order, never = self.order.get, len(self.made)
         ranks = [order(p, never) for p in zip(parts, parts[1:])]
@@ -134,6 +139,28 @@ class Encoder:
                     ranks[i] = order((token, parts[i + 1]), never)
         return parts
 
+    def _exact_long(self, word: bytes) -> list[int]:
+        """The same with a heap of pairs and linked parts: the time grows with n log n."""
+        parts: list[int] = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := self.order.get(p)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            # a pair that has changed since is of another rank, or gone
+            if parts[i] < 0 or j >= n or self.order.get((parts[i], parts[j])) != rank:
+                continue
+            parts[i], parts[j] = self.made[rank], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (r := self.order.get((parts[left], parts[right]))) is not None:
+                    heappush(heap, (r, left))
+        return [p for p in parts if p >= 0]
+
     def learn(self, words: list[str]) -> None:
         """Encode new words into the cache."""
         raw = [w.encode("utf-8") for w in words]

@@ -42,7 +42,8 @@ def _hashed(df: DataFrame, id_col: str, canon: Column) -> DataFrame:
     text = df.select(F.col(id_col).alias("id"), canon.alias("canon"))
     return text.select(
         "id", "canon", F.xxhash64("canon").alias("h1"), F.xxhash64(F.lit("second"), "canon").alias("h2"),
-        F.struct(F.length("canon"), F.crc32(F.col("canon").cast("binary"))).alias("check"),
+        # one number, so that counting stays in a hash table
+        (F.shiftleft(F.length("canon").cast("bigint"), 32).bitwiseOR(F.crc32(F.col("canon").cast("binary")))).alias("check"),
     )
 
 
@@ -95,7 +96,8 @@ def _members(rows: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
 def collapsed(df: DataFrame, id_col: str, exact: list[str], loose: list[str], fields: list[str]) -> DataFrame:
     """One row (keep_id, copies) for each set of equal records (see copy_pairs), singles included.
 
-    The collision check splits a set whose records differ after all.
+    Sets are told apart by 128 bits of hash, the length and a checksum: records of one hash
+    that differ in length or checksum are counted apart.
     """
     canon = canonical_record(exact, loose, fields)
     df = df.filter(F.col(id_col).isNotNull())

@@ -101,6 +101,18 @@ def test_every_token_encodes_to_itself(encoder):
     assert all(encoder.exact(t) == [i] for t, i in encoder.ids.items())
 
 
+def test_long_words_merge_alike_and_fast(encoder, reference):
+    import time
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdekrståäöABC+/=0123") for _ in range(n)) for n in (101, 300, 5000)] + ["ab" * 3000, "a" * 777]
+    assert [[t for w in ws for t in w] for ws in encoder.encode_batch(words)] == [x.ids for x in reference.encode_batch(words, add_special_tokens=False)]
+    raw = "".join(rng.choice("abcdefghijkl") for _ in range(200_000)).encode()
+    at = time.time()
+    encoder.exact(raw)
+    assert time.time() - at < 10
+
+
 def test_ids_and_counts(spark):
     df = spark.createDataFrame([(1, "hej hej <|endoftext|>"), (2, None), (3, ""), (4, "x" * 50_000)], "i int, t string")
     out = {r.i: (r.ids, r.n) for r in df.select("i", bpe.token_ids(spark, "t").alias("ids"), bpe.token_count(spark, "t").alias("n")).collect()}
