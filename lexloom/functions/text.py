@@ -71,7 +71,7 @@ def comparison_key(c: Column | str) -> Column:
 
 
 def is_letters(c: Column | str) -> Column:
-    return _c(c).rlike(r"^\p{L}+$")
+    return _c(c).rlike(r"^\p{L}+\z")
 
 
 def rejection_reason(c: Column | str) -> Column:

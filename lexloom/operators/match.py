@@ -46,12 +46,15 @@ def best_set_match(left: DataFrame, right: DataFrame, key: str, left_id: str, ri
 
 
 def near_match(left: DataFrame, right: DataFrame, word: str) -> DataFrame:
-    """(word, candidate) of words that share a key after one deletion, equal ones and lengths two apart aside."""
+    """(word, candidate) of a word and candidates that share a key with it after one deletion, as long as it or one character longer.
+
+    A candidate one shorter than the word isn't found: the search goes from readings, which lose characters.
+    """
     keys = F.explode(F.array_union(F.array("__w"), T.deletion_keys("__w")))
     lk = left.select(F.col(word).alias("__w")).select(F.col("__w").alias("word"), keys.alias("k"))
     rk = right.select(F.col(word).alias("__w")).select(F.col("__w").alias("candidate"), keys.alias("k"))
-    gap = F.abs(F.length("word") - F.length("candidate"))
-    return lk.join(rk, "k").filter((F.col("word") != F.col("candidate")) & (gap <= 1)).select("word", "candidate").distinct()
+    longer = F.length("candidate") - F.length("word")
+    return lk.join(rk, "k").filter((F.col("word") != F.col("candidate")) & longer.between(0, 1)).select("word", "candidate").distinct()
 
 
 def compound_splits(compounds: DataFrame, lefts: DataFrame, rights: DataFrame, word: str, least: int = 2) -> DataFrame:

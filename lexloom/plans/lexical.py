@@ -44,8 +44,9 @@ SELECT w AS form, min(doc_id) AS first_doc, string_agg(DISTINCT source, '|' ORDE
 FROM {_DOC_WORDS} WHERE ({_REASON}) IS NULL GROUP BY w""")
 def words_reject_dedupe(spark, sf):
     """Usable words of the documents, one row each, with where they came from."""
-    w = _doc_words(spark, sf).filter(T.rejection_reason("w").isNull())
-    g = grouping.group_first_union(w, ["w"], "doc_id", ["doc_id"], ["source"])
+    g = grouping.group_first_union(_doc_words(spark, sf), ["w"], "doc_id", ["doc_id"], ["source"])
+    # each distinct word is judged once
+    g = g.filter(T.rejection_reason("w").isNull())
     return g.select(F.col("w").alias("form"), F.col("doc_id").alias("first_doc"), F.array_join("source", "|").alias("sources"), (F.col("n") - 1).alias("duplicates"))
 
 
@@ -244,15 +245,15 @@ def anti_chain_unknown(spark, sf):
     ])
 
 
-_DEL = "list_distinct([w] || list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1)))"
+_DEL = "CASE WHEN length(w) > 1 THEN list_distinct([w] || list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1))) ELSE [w] END"
 
 
 @_query(f"""
-WITH a AS (SELECT DISTINCT word AS w FROM print_vocab WHERE length(word) > 1), k AS (SELECT w, unnest({_DEL}) AS k FROM a)
-SELECT DISTINCT x.w AS word, y.w AS candidate FROM k x JOIN k y ON x.k = y.k WHERE x.w <> y.w AND abs(length(x.w) - length(y.w)) <= 1""")
+WITH a AS (SELECT DISTINCT word AS w FROM print_vocab WHERE word IS NOT NULL), k AS (SELECT w, unnest({_DEL}) AS k FROM a)
+SELECT DISTINCT x.w AS word, y.w AS candidate FROM k x JOIN k y ON x.k = y.k WHERE x.w <> y.w AND length(y.w) - length(x.w) BETWEEN 0 AND 1""")
 def deletion_key_match(spark, sf):
     """Printed words that share a key after one deletion."""
-    v = table(spark, sf, "print_vocab").filter(F.length("word") > 1)
+    v = table(spark, sf, "print_vocab").filter("word is not null")
     return match.near_match(v, v, "word")
 
 

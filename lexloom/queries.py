@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, lexical
+from .plans import audit, cleaning, lexical
 
-QUERIES = {**lexical.QUERIES, **cleaning.QUERIES}
-SQL = {**lexical.SQL, **cleaning.SQL}
+QUERIES = {**lexical.QUERIES, **audit.QUERIES, **cleaning.QUERIES}
+SQL = {**lexical.SQL, **audit.SQL, **cleaning.SQL}
