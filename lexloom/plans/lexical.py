@@ -70,17 +70,6 @@ def null_text_filter(spark, sf):
     return table(spark, sf, "lexeme_slots").filter(T.is_null_text("notation")).groupBy("upos").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("""
-SELECT p_partkey, unnest(list_distinct(list_filter([CASE WHEN p_type ILIKE '%BRASS%' OR p_type ILIKE '%STEEL%' THEN 'HARD' END, CASE WHEN p_type ILIKE '%SMALL%' OR p_type ILIKE '%LARGE%' THEN 'SIZED' END,
-  CASE WHEN p_type ILIKE '%PLATED%' THEN 'COATED' END], lambda x: x IS NOT NULL))) AS cls FROM part""")
-def multi_class_explode(spark, sf):
-    """A field that means several classes, one row each."""
-    t = F.upper("p_type")
-    has = lambda *ws: F.reduce(F.array(*[t.contains(w) for w in ws]), F.lit(False), lambda a, b: a | b)
-    cls = F.array_compact(F.array(F.when(has("BRASS", "STEEL"), "HARD"), F.when(has("SMALL", "LARGE"), "SIZED"), F.when(has("PLATED"), "COATED")))
-    return table(spark, sf, "part").select("p_partkey", F.explode(cls).alias("cls"))
-
-
 @_query("""
 SELECT upos_class, count(*) AS n FROM (SELECT CASE WHEN upper(trim(upos)) = 'NOUN' THEN 'NOUN' WHEN upper(trim(upos)) = 'ADJ' THEN 'ADJ' WHEN upper(trim(upos)) = 'VERB' THEN 'VERB'
   WHEN notation LIKE '%best. pl.%' THEN 'NOUN' WHEN notation LIKE '%komp.%' OR notation LIKE '%superl.%' THEN 'ADJ' WHEN notation LIKE '%sup.%' OR notation LIKE '%imper.%' THEN 'VERB' ELSE 'X' END AS upos_class
@@ -618,14 +607,14 @@ def ngram_windows(spark, sf):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-_IV = "SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS id, CAST(epoch_us(l_shipdate) AS BIGINT) AS lo, CAST(epoch_us(l_shipdate) AS BIGINT) + CAST(l_quantity AS BIGINT) * 86400000000 AS hi FROM lineitem WHERE l_returnflag = 'A'"
+_IV = "SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS id, CAST(epoch_us(l_shipdate) AS BIGINT) AS lo, CAST(epoch_us(l_shipdate) AS BIGINT) + CAST(l_quantity AS BIGINT) * 86400000000 AS hi FROM lineitem"
 
 
 @_query(f"""
 WITH i AS ({_IV}) SELECT l_suppkey, id FROM (SELECT l_suppkey, id, hi, max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i) WHERE reach >= hi""")
 def range_containment(spark, sf):
     """Stretches of shipping that lie within another of the supplier."""
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'A'")
+    li = table(spark, sf, "lineitem")
     lo = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("l_shipdate").cast("timestamp_ntz"))
     i = li.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), lo.alias("lo"), (lo + F.col("l_quantity").cast("bigint") * 86_400_000_000).alias("hi"))
     return ordered.contained_in(i, "l_suppkey", "lo", "hi", "id")
@@ -639,7 +628,7 @@ SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(trim(regexp_r
  '(^|[^\\p{L}\\p{N}])(\\p{L}+\\.)([+-])', '\\1\\2 \\3', 'g'), '(^|\\s)-\\s+([\\p{L}\\p{N}])', '\\1-\\2', 'g'), '\\s+', ' ', 'g')), '(?i)([;,]|[+-][^\\s;,_]*|[^\\s;,+_]+)')) AS token FROM lexeme_slots WHERE notation IS NOT NULL) GROUP BY 1""")
 def notation_tokens(spark, sf):
     """Tokens of the notations and how often they occur."""
-    n = table(spark, sf, "lexeme_slots").filter("notation is not null").select(F.regexp_extract_all(notation.clean_notation(F.col("notation")), F.lit(notation.TOKEN), F.lit(1)).alias("t"))
+    n = table(spark, sf, "lexeme_slots").filter("notation is not null").select(notation.token_array(notation.clean_notation(F.col("notation"))).alias("t"))
     return n.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

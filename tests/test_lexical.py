@@ -17,8 +17,8 @@ NOUNS = [
     ("+en best. pl. +arna", [("sg_def", "bilen"), ("pl_def", "bilarna")]),
     ("+en _ +ar", [("sg_def", "bilen"), ("sg_def", "bilar")]),
     ("pl.+ar [uttal]", [("pl_indef", "bilar")]),
-    ("+en pl.", None), ("el. +en", None), ("", None), ("(null)", None), (None, None),
-    ("+en okänd. +ar", None),
+    ("el. +en", None), ("", None), ("(null)", None), (None, None),
+    ("+en pl.", None), ("+en okänd. +ar", [("sg_def", "bilen"), ("pl_indef", "bilar")]), ("+en = +ar", None),
 ]
 
 
@@ -33,6 +33,11 @@ def test_noun_slots(spark, text, want):
     ("VERB", "-ade -at pres. -ar", [("preterite", "kastade"), ("supine", "kastat"), ("present", "kastar")]),
     ("ADJ", "+t +a komp. +are", [("neuter", "kastt"), ("definite_or_plural", "kasta"), ("comparative", "kastare")]),
     ("ADJ", "best.", [("definite_or_plural", "kast")]),
+    ("ADJ", "+t +a", [("neuter", "kastt"), ("definite_or_plural", "kasta")]), ("ADJ", "+t +a +are +ast", [("neuter", "kastt"), ("definite_or_plural", "kasta"), ("comparative", "kastare"), ("superlative", "kastast")]),
+    ("ADJ", "kasta", [("definite_or_plural", "kasta")]), ("ADJ", "+t +are h +aare", [("neuter", "kastt"), ("comparative", "kastare"), ("comparative", "kastaare")]), ("ADJ", "+t pl. +a el. +e", [("neuter", "kastt"), ("definite_or_plural", "kasta"), ("definite_or_plural", "kaste")]),
+    ("ADJ", "+t +are +ast best. +e pl. +a", [("neuter", "kastt"), ("comparative", "kastare"), ("superlative", "kastast"), ("masculine_definite", "kaste"), ("definite_or_plural", "kasta")]),
+    ("VERB", "kastade", [("explicit_form", "kastade")]), ("VERB", "+de +t", [("preterite", "kastade"), ("supine", "kastat")]), ("VERB", "pres.", [("present", "kasta")]), ("VERB", "+de högt. +t sup. +t", [("preterite", "kastade"), ("supine", "kastat")]),
+    ("PRON", "gen. +s", [("genitive", "kasts")]), ("NUM", "ordn. +nde", [("ordinal", "kastnde")]), ("ADV", "komp. +re superl. +st", [("comparative", "kastre"), ("superlative", "kastst")]), ("PART", "-", []), ("DET", "n. +t pl. +a", [("neuter_singular", "kastt"), ("plural", "kasta")]),
 ])
 def test_other_classes(spark, cls, text, want):
     base = "kasta" if cls == "VERB" else "kast"
@@ -48,6 +53,16 @@ def test_truncated_notation_and_tails(spark):
     assert [x[0] for x in r.select(notation.replace_tail(F.col("b"), F.col("t"), F.col("p"))).collect()] == ["klivor", "klivor", None]
 
 
+def test_cut_notation_is_read_as_far_as_it_goes(spark):
+    text = "+en +ar; pl. best. +arna el. +erna _ " + "x" * 13
+    assert len(text) == 50
+    df = spark.createDataFrame([(1, "bil", "NOUN", text, "bil")], "id int, lemma string, upos string, notation string, stycke string")
+    got = {(r.slot, r.written_form) for r in notation.slot_forms(df, "id", "lemma", "upos", "notation", "stycke", 50).collect()}
+    assert got == set() or ("sg_def", "bilen") in got
+    df = spark.createDataFrame([(1, "bil", "NOUN", ("+en +ar best. pl. +arna = " + "y" * 40)[:50], "bil")], df.schema)
+    assert {(r.slot, r.written_form) for r in notation.slot_forms(df, "id", "lemma", "upos", "notation", "stycke", 50).collect()} == {("sg_def", "bilen"), ("pl_indef", "bilar"), ("pl_def", "bilarna")}
+
+
 def test_noun_completion(spark):
     df = spark.createDataFrame([(1, "bil", "NOUN", "+en +ar", "bil"), (2, "hus", "NOUN", "+et +", "hus")], "id int, lemma string, upos string, notation string, stycke string")
     out = notation.complete_nouns(notation.slot_forms(df, "id", "lemma", "upos", "notation", "stycke"), df, "id", "lemma")
@@ -56,9 +71,9 @@ def test_noun_completion(spark):
 
 
 RAW = [
-    ("akne", "1", "s.", "akne", 10, 1, "+n", "NOUN", "akne", 0), ("akne", "0", "s.", "acne", 10, 1, "+n", "NOUN", "acne", 1),
-    ("akne", "1", "(hv) s.", None, 20, 1, None, "NOUN", "acne", 2), ("få", "1", "v.", "få", 30, 1, "", "VERB", "få", 3), ("få", "2", "adj.", "få", 30, 1, "", "ADJ", "få", 4),
-    ("få", "0", "adj.", "fåå", 30, 1, "", "ADJ", "fåå", 5), ("få", "2", "(HV) komp.", None, 40, 1, None, "ADJ", "färre", 6),
+    ("flöm", "1", "s.", "flöm", 10, 1, "+n", "NOUN", "flöm", 0), ("flöm", "0", "s.", "flöhm", 10, 1, "+n", "NOUN", "flöhm", 1),
+    ("flöm", "1", "(hv) s.", None, 20, 1, None, "NOUN", "flöhm", 2), ("brå", "1", "v.", "brå", 30, 1, "", "VERB", "brå", 3), ("brå", "2", "adj.", "brå", 30, 1, "", "ADJ", "brå", 4),
+    ("brå", "0", "adj.", "bråå", 30, 1, "", "ADJ", "bråå", 5), ("brå", "2", "(HV) komp.", None, 40, 1, None, "ADJ", "brårre", 6),
 ]
 
 
@@ -67,8 +82,8 @@ def test_relations_lose_no_row(spark):
     rel = relational.materialize(df)
     assert rel["headings"].count() + rel["references"].count() == len(RAW)
     assert sorted(r.article_id for r in rel["articles"].collect()) == ["10:1:1", "30:1:1", "30:1:2"]
-    assert sorted((r.heading, r.heading_type) for r in rel["headings"].filter("article_id = '10:1:1'").collect()) == [("acne", "alternate"), ("akne", "primary")]
-    assert [r.lemma for r in rel["unresolved"].collect()] == ["få"]
+    assert sorted((r.heading, r.heading_type) for r in rel["headings"].filter("article_id = '10:1:1'").collect()) == [("flöhm", "alternate"), ("flöm", "primary")]
+    assert [r.lemma for r in rel["unresolved"].collect()] == ["brå"]
     assert sorted(r.reference_type for r in rel["references"].collect()) == ["inflection_reference", "plain_reference"]
     assert rows(relational.integrity(rel["headings"].filter("article_id <> ''"), rel["articles"], "article_id", "article_id")) == []
 
