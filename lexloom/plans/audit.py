@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical as L
-from ..operators import evidence, ordered, paradigm
+from ..operators import evidence, ocr, ordered, paradigm, raster
 from ..tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,3 +486,34 @@ def merged_counters(spark, sf):
     both = a.join(b, a.source.eqNullSafe(b.source)).select(a.source, F.map_concat("m", "m2").alias("m"))
     pairs = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return both.select("source", F.array_join(pairs, ";").alias("counters"))
+
+
+# ---- rasters -------------------------------------------------------------------------------
+
+
+def _drawn(spark, sf) -> tuple[DataFrame, dict]:
+    """The words of print as drawn pages, and the glyphs of all letters that the table of fixed size has."""
+    words = table(spark, sf, "print_vocab").filter("word is not null")
+    letters = words.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().limit(5000).collect()
+    return raster.draw_words(words, "word_no", "word"), {r.c: list(raster.drawn_glyph(r.c)) for r in letters}
+
+
+@_query("SELECT CAST(word_no AS BIGINT) AS page, word AS text, CAST(0 AS INT) AS lost FROM print_vocab WHERE length(word) > 0")
+def raster_round_trip(spark, sf):
+    """Words drawn as pages and read back, glyph by glyph from the left."""
+    pages, glyphs = _drawn(spark, sf)
+    return raster.row_texts(raster.read_pages(pages, glyphs)).select("page", "text", "lost")
+
+
+@_query("SELECT CAST(word_no AS BIGINT) AS page, CAST(1 AS BIGINT) AS rows, CAST(length(word) AS BIGINT) AS glyphs, CAST(0 AS BIGINT) AS unsolved_rows, CAST(0 AS BIGINT) AS lost FROM print_vocab WHERE length(word) > 0")
+def raster_page_results(spark, sf):
+    """What reading each drawn page came to."""
+    pages, glyphs = _drawn(spark, sf)
+    return raster.page_results(raster.read_pages(pages, glyphs))
+
+
+@_query(f"SELECT CAST(word_no AS BIGINT) AS page, CAST(2 AS INT) AS top, CAST({2 + raster.GLYPH_HEIGHT} AS INT) AS bottom FROM print_vocab WHERE length(word) > 0")
+def raster_bands(spark, sf):
+    """The inked bands of each drawn page."""
+    bands = ocr.row_bands(ocr.ink_pixels(_drawn(spark, sf)[0]))
+    return bands.select("page", "top", "bottom")
