@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical as L
-from ..operators import evidence, ocr, ordered, paradigm, raster
+from .. import sources
+from ..operators import evidence, ocr, ordered, paradigm, raster, relational
+from ..sources import lexicon
 from ..tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,3 +519,86 @@ def raster_bands(spark, sf):
     """The inked bands of each drawn page."""
     bands = ocr.row_bands(ocr.ink_pixels(_drawn(spark, sf)[0]))
     return bands.select("page", "top", "bottom")
+
+
+# ---- relations, sources and sinks ------------------------------------------------------------
+
+_RAW = "(SELECT lexeme_id, CAST(head_id AS VARCHAR) AS g, coalesce(homonr, '') AS h, coalesce(nullif(stycke, ''), lemma, '') AS heading, coalesce(lemma, '') AS lemma, coalesce(upos, '') = 'X' AS ref FROM lexeme_slots)"
+_HEADINGS = f"""(SELECT r.*, CASE WHEN h NOT IN ('', '0') THEN h WHEN lo = hi THEN lo ELSE '' END AS number FROM {_RAW} r JOIN (SELECT g, min(CASE WHEN h NOT IN ('', '0') THEN h END) AS lo, max(CASE WHEN h NOT IN ('', '0') THEN h END) AS hi FROM {_RAW} WHERE NOT ref GROUP BY 1) USING (g) WHERE NOT ref)"""
+
+
+def _relations(spark, sf) -> dict[str, DataFrame]:
+    """Lexemes as raw records, grouped by their head; those of class X as references."""
+    none = F.lit(None).cast("string")
+    raw = _lexemes(spark, sf).select(
+        F.col("lemma").alias("normaliserat_ord"), "homonr", F.when(F.coalesce("upos", F.lit("")) == "X", "(HV) adj. komp.").otherwise("s.").alias("ordkl"), "stycke", F.col("head_id").cast("bigint").alias("urspr_lopnr"),
+        F.lit(None).cast("bigint").alias("subnr"), F.col("notation").alias("text"), none.alias("source"), "upos", none.alias("ord"), F.col("lexeme_id").alias("row_idx"),
+    )
+    return relational.materialize(raw)
+
+
+@_query(f"SELECT lexeme_id AS row_idx, CASE WHEN number <> '' THEN g || ':' || g || ':' || number ELSE '' END AS article_id, heading, CASE WHEN h NOT IN ('', '0') THEN 'primary' ELSE 'alternate' END AS heading_type, number FROM {_HEADINGS}")
+def relation_headings(spark, sf):
+    """The headings of raw records, each with its article; a homonym number 0 goes to the only other number of its group."""
+    h = _relations(spark, sf)["headings"]
+    return h.select(F.col("source_row_index").alias("row_idx"), "article_id", "heading", "heading_type", F.col("homonym_number").alias("number"))
+
+
+@_query(f"SELECT g || ':' || g || ':' || number AS article_id, arg_min(lemma, (CAST(h IN ('', '0') AS INT), lexeme_id)) AS lemma, CAST(count(*) AS INT) AS source_row_count FROM {_HEADINGS} WHERE number <> '' GROUP BY 1")
+def relation_articles(spark, sf):
+    """The articles of raw records, with the lemma of their first primary row."""
+    return _relations(spark, sf)["articles"].select("article_id", "lemma", "source_row_count")
+
+
+@_query(f"SELECT lexeme_id AS row_idx, g || ':' || g || ':' || h || ':' || heading AS reference_id, lemma AS target_lemma, 'inflection_reference' AS reference_type FROM {_RAW} WHERE ref")
+def relation_references(spark, sf):
+    """The references among raw records."""
+    r = _relations(spark, sf)["references"]
+    return r.select(F.col("source_row_index").alias("row_idx"), "reference_id", "target_lemma", "reference_type")
+
+
+@_query(f"SELECT (SELECT count(*) FROM {_RAW}) AS records, (SELECT count(*) FROM {_HEADINGS}) AS headings, (SELECT count(*) FROM {_RAW} WHERE ref) AS refs, (SELECT count(*) FROM {_HEADINGS} WHERE number = '') AS unresolved")
+def lossless_accounting(spark, sf):
+    """Records in, and headings, references and unresolved rows out: none is lost."""
+    rel = _relations(spark, sf)
+    parts = {"records": _lexemes(spark, sf), "headings": rel["headings"], "refs": rel["references"], "unresolved": rel["unresolved"]}
+    counts = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
+
+
+@_query("""
+SELECT 'lemma' AS field, 'string' AS type, count(*) AS rows, count(*) FILTER (lemma IS NULL) AS nulls, count(*) FILTER (trim(lemma) = '') AS blanks, min(lemma) AS least, max(lemma) AS most FROM lexeme_slots
+UNION ALL SELECT 'upos', 'string', count(*), count(*) FILTER (upos IS NULL), count(*) FILTER (trim(upos) = ''), min(upos), max(upos) FROM lexeme_slots
+UNION ALL SELECT 'notation', 'string', count(*), count(*) FILTER (notation IS NULL), count(*) FILTER (trim(notation) = ''), min(notation), max(notation) FROM lexeme_slots""")
+def field_profile(spark, sf):
+    """What the fields of lexemes hold."""
+    return sources.profile(_lexemes(spark, sf).select("lemma", "upos", "notation")).drop("distinct")
+
+
+@_query("SELECT entry_id, lemma, array_to_string(f, '|') AS forms FROM (SELECT entry_id, coalesce(lemmas[1], list_min(f)) AS lemma, f FROM (SELECT entry_id, lemmas, list_sort(list_distinct(list_concat(lemmas, list_transform(word_forms, lambda x: x.form)))) AS f FROM saldo_analyses))")
+def lmf_written_forms(spark, sf):
+    """Entries as elements of an LMF lexicon, read with all their written forms."""
+    feat = lambda name, c: F.array(F.struct(F.lit(name).alias("_att"), c.alias("_val")))
+    e = table(spark, sf, "saldo_analyses").select(
+        F.col("entry_id").alias("_id"), F.struct(F.transform("lemmas", lambda x: F.struct(feat("writtenForm", x).alias("feat"))).alias("FormRepresentation")).alias("Lemma"),
+        F.transform("word_forms", lambda w: F.struct(F.concat(feat("writtenForm", w["form"]), feat("msd", w["msd"])).alias("feat"))).alias("WordForm"),
+    )
+    return lexicon.all_written_forms(e).select("entry_id", "lemma", F.array_join("forms", "|").alias("forms"))
+
+
+@_query("SELECT lower(form) AS form, string_agg(DISTINCT msd, '|' ORDER BY msd) AS labels FROM (SELECT f.form AS form, f.msd AS msd FROM (SELECT unnest(word_forms) AS f FROM saldo_analyses)) WHERE form IS NOT NULL GROUP BY 1")
+def lmf_form_labels(spark, sf):
+    """Every form of the other lexicon with its grammatical labels."""
+    feat = lambda name, c: F.array(F.struct(F.lit(name).alias("_att"), c.alias("_val")))
+    e = table(spark, sf, "saldo_analyses").select(F.transform("word_forms", lambda w: F.struct(F.concat(feat("writtenForm", w["form"]), feat("msd", w["msd"])).alias("feat"))).alias("WordForm"))
+    return lexicon.form_labels(e).select("form", F.when(F.size("labels") > 0, F.array_join("labels", "|")).alias("labels"))
+
+
+@_query("SELECT lexeme_id, lemma, notation FROM lexeme_slots WHERE lemma = (SELECT min(lemma) FROM lexeme_slots) ORDER BY lexeme_id LIMIT 1")
+def point_lookup(spark, sf):
+    """The first lexeme of one lemma."""
+    d = _lexemes(spark, sf).select("lexeme_id", "lemma", "notation")
+    return lexicon.one_record(d, "lemma", d.agg(F.min("lemma")).first()[0], "lexeme_id")

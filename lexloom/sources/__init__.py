@@ -45,7 +45,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD) ->
 
 
 def _feature(feats, name: str):
-    return F.filter(feats, lambda f: f["_att"] == name)[0]["_val"]
+    return F.get(F.filter(feats, lambda f: f["_att"] == name), F.lit(0))["_val"]
 
 
 def read_lmf(spark: SparkSession, path: str) -> DataFrame:
