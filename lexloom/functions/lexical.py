@@ -176,3 +176,24 @@ def restored_bar(form: Column | str, stycke: Column | str) -> Column:
     prefix = F.translate(F.regexp_extract(s, r"^(.*)\|", 1), SOFT_MARKS, "")
     starts = s.contains("|") & (prefix != "") & f.startswith(prefix) & (F.length(f) > F.length(prefix)) & ~f.contains("|")
     return F.when(starts, F.concat(prefix, F.lit("|"), F.substring(f, F.length(prefix) + 1, F.length(f)))).otherwise(f)
+
+
+def description_parts(c: Column | str) -> Column:
+    """(grammar, paradigm) of a form's description: its words, and those that are numbers of a paradigm such as `1:2-3`."""
+    words = F.filter(F.split(F.trim(F.coalesce(_c(c), F.lit(""))), r"\s+"), lambda w: w != "")
+    number = lambda w: w.rlike(r"^[1-9][0-9]*:[1-9][0-9]*-[1-9][0-9]*$")
+    return F.struct(F.filter(words, lambda w: ~number(w)).alias("grammar"), F.filter(words, number).alias("paradigm"))
+
+
+def known_error(keys: dict[str, str], lemma: Column | str, notation: Column | str, mark: str = "<k>") -> Column:
+    """Whether a record has a signature known to be wrong: a listed lemma with its listed notation and the mark in it."""
+    hit = F.lit(False)
+    for w, text in keys.items():
+        hit = hit | ((_c(lemma) == w) & (_c(notation) == text) & _c(notation).contains(mark))
+    return F.coalesce(hit, F.lit(False))
+
+
+def printed_variant(printed: Column | str, lemma: Column | str, notation: Column | str) -> Column:
+    """The base that a notation is applied to: the printed word where it differs from the lemma but for boundary marks and the notation only changes one base; else the lemma."""
+    p = F.nullif(F.trim(F.translate(_c(printed), SOFT_MARKS, "")), F.lit(""))
+    return F.when(p.isNotNull() & (fold(p) != fold(_c(lemma))) & simple_relative(notation), p).otherwise(_c(lemma))

@@ -114,9 +114,9 @@ def route(records: DataFrame, siblings: DataFrame, id_col: str, key: str, form:
 
     By the first evidence that exists: classes of siblings whose text mentions the form, else
     classes of all siblings. One class routes the record; several leave it ambiguous; none
-    leaves it unresolved. Siblings are reduced to (key, class, mentions) before they meet.
+    leaves it unresolved. Siblings that say the same are reduced to one before they meet.
     """
-    s = siblings.filter(F.col(cls).isNotNull()).select(key, F.col(cls).alias("__c"), F.col(text).alias("__t"))
+    s = siblings.filter(F.col(cls).isNotNull()).select(key, F.col(cls).alias("__c"), F.col(text).alias("__t")).distinct()
     pairs = records.select(id_col, key, form).join(s, key)
     ev = pairs.groupBy(id_col).agg(
         F.collect_set(F.when(T.mentions("__t", form), F.col("__c"))).alias("by_mention"), F.collect_set("__c").alias("by_key")

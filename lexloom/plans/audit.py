@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical as L
 from .. import sources
-from ..operators import evidence, ocr, ordered, paradigm, raster, relational
+from ..operators import evidence, notation, ocr, ordered, paradigm, raster, relational
 from ..sources import lexicon
 from ..tables import table
 
@@ -225,6 +225,50 @@ def attested_verb_forms(spark, sf):
     return paradigm.attested_forms(_forms(spark, sf), verbs, "lexeme_id", "lemma", e)
 
 
+_TAIL = "list_max(list_transform(range(0, greatest(length(lemma), 1)), lambda i: {'s': len(list_filter(range(1, least(length(lemma) - i, length(tail)) + 1), lambda k: substr(lower(lemma), i + 1, k) = left(lower(tail), k))), 'a': -i}))"
+
+
+@_query(f"""
+WITH d AS (SELECT s.slot_form_id, s.written_form, s.source, l.lemma, CASE WHEN contains(stycke, '|') THEN translate(regexp_extract(stycke, '^(.*)\\|', 1), '|·', '') END AS bar, substr(s.source, 2) AS tail FROM slot_forms s JOIN lexeme_slots l USING (lexeme_id) WHERE s.source <> ''),
+b AS (SELECT *, CASE WHEN starts_with(source, '-') THEN {_TAIL} END AS best FROM d),
+f AS (SELECT slot_form_id, written_form, CASE WHEN source = '+' THEN lemma WHEN starts_with(source, '+') THEN lemma || regexp_replace(tail, '^-', '') WHEN starts_with(source, '-') THEN CASE WHEN tail = '' THEN source WHEN best.s >= 2 THEN left(lemma, -best.a) || tail WHEN starts_with(lower(lemma), lower(bar)) THEN bar || tail END ELSE source END AS built FROM b)
+SELECT slot_form_id, built, coalesce(built = written_form, FALSE) AS same FROM f""")
+def token_replay(spark, sf):
+    """What the token of each form makes of its lemma, and whether that is the form."""
+    s = table(spark, sf, "slot_forms").filter("source <> ''").join(_lexemes(spark, sf).select("lexeme_id", "lemma", "stycke"), "lexeme_id")
+    built = notation.replayed_form(F.col("lemma"), F.col("source"), notation.bar_prefix(F.col("stycke")))
+    return s.select("slot_form_id", "written_form", built.alias("built")).select("slot_form_id", "built", F.coalesce(F.col("built") == F.col("written_form"), F.lit(False)).alias("same"))
+
+
+@_query("""
+SELECT lexeme_id, regexp_replace(lemma, '^(\\S+)', '\\1s') AS first_word, lemma || 's' AS last_word, CASE WHEN regexp_matches(lemma, '^\\S{2,}a(\\s|$)') THEN regexp_replace(lemma, '^(\\S+)a(\\s.*)?$', '\\1\\2') ELSE lemma END AS imperative
+FROM lexeme_slots WHERE regexp_matches(lemma, '^[^\\s].*[^\\s-]$')""")
+def carrier_words(spark, sf):
+    """Lemmas with an ending at their first and at their last word, and with their first word as an imperative."""
+    d = _lexemes(spark, sf).filter(F.col("lemma").rlike(r"^[^\s].*[^\s-]$"))
+    s = lambda w: F.concat(w, F.lit("s"))
+    w = F.col("lemma")
+    return d.select("lexeme_id", notation.on_word(w, "first", s).alias("first_word"), notation.on_word(w, "last", s).alias("last_word"), notation.imperative(w).alias("imperative"))
+
+
+@_query("""
+SELECT array_to_string(list_filter(w, lambda x: NOT regexp_matches(x, '^[1-9][0-9]*:[1-9][0-9]*-[1-9][0-9]*$')), ' ') AS grammar, array_to_string(list_filter(w, lambda x: regexp_matches(x, '^[1-9][0-9]*:[1-9][0-9]*-[1-9][0-9]*$')), ' ') AS paradigm, count(*) AS n
+FROM (SELECT list_filter(string_split_regex(trim(coalesce(msd, '')), '\\s+'), lambda x: x <> '') AS w FROM generated_word_forms) GROUP BY 1, 2""")
+def description_parts(spark, sf):
+    """The grammatical and the paradigm part of descriptions, with their number."""
+    p = table(spark, sf, "generated_word_forms").select(L.description_parts("msd").alias("p"))
+    return p.groupBy(F.array_join("p.grammar", " ").alias("grammar"), F.array_join("p.paradigm", " ").alias("paradigm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""
+SELECT lexeme_id, CASE WHEN p IS NOT NULL AND lower(p) <> lower(lemma) AND simple THEN p ELSE lemma END AS base FROM (SELECT lexeme_id, lemma, nullif(trim(translate(stycke, '­·|', '')), '') AS p,
+ trim(coalesce(notation, '')) NOT IN ('', '(null)', 'null') AND NOT contains(notation, '_') AND NOT contains(lower(notation), 'el.') AND NOT contains(notation, '[') AND len(list_filter(t, lambda x: NOT regexp_matches(x, '^(\\+|[+-]\\p{L}+|pl\\.|best\\.|sg\\.)$'))) = 0 AND len(list_filter(t, lambda x: starts_with(x, '+'))) > 0 AS simple
+ FROM (SELECT *, list_filter(string_split_regex(translate(trim(coalesce(notation, '')), ';,', '  '), '\\s+'), lambda x: x <> '') AS t FROM lexeme_slots))""")
+def printed_bases(spark, sf):
+    """What the notation of each lexeme is applied to: the printed word where it is another, else the lemma."""
+    return _lexemes(spark, sf).select("lexeme_id", L.printed_variant("stycke", "lemma", "notation").alias("base"))
+
+
 # ---- matches and evidence ------------------------------------------------------------------
 
 _E = f"(SELECT entry_id, {_CLS} AS cls, lemmas, word_forms FROM saldo_analyses)"

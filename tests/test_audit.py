@@ -118,3 +118,33 @@ def test_reasons_and_places(spark):
     assert E.place_among(words.limit(0), marks.limit(0), ["p"], "v", "n").count() == 0
     s = spark.createDataFrame([(1, "a", "0"), (2, "a", "2"), (3, "b", None), (4, None, "1")], "id int, l string, h string")
     assert rows(E.numbered_siblings(s, "id", ["l"], "h")) == [(1, True), (2, True), (3, False), (4, False)]
+
+
+def test_pipeline(spark):
+    from lexloom.plans.pipeline import Step, run
+
+    double = Step("double", lambda t: {"b": t["a"].selectExpr("id * 2 AS id")}, write=True, gate=lambda t: t["b"].count() == t["a"].count())
+    total = Step("total", lambda t: {"c": t["b"].agg(F.sum("id").alias("s"))})
+    assert run([double, total], {"a": spark.range(4)})["c"].first().s == 12
+    with pytest.raises(ValueError, match="again"):
+        run([double, double], {"a": spark.range(1)})
+    with pytest.raises(RuntimeError, match="gate after none"):
+        run([Step("none", lambda t: {}, gate=lambda t: False)], {})
+
+
+@pytest.mark.parametrize("base,token,bar,want", [("kliva", "+", None, "kliva"), ("kliva", "+n", None, "klivan"), ("kliva", "-ivor", None, "klivor"), ("kliva", "klev", None, "klev"), ("kliva", "-or", "kliv", "klivor"), ("kliva", None, None, None), (None, "+n", None, None)])
+def test_replay(spark, base, token, bar, want):
+    from lexloom.operators import notation as N
+
+    assert one(spark, base, lambda c: N.replayed_form(c, F.lit(token).cast("string"), F.lit(bar).cast("string"))) == want
+
+
+def test_words_of_a_base(spark):
+    from lexloom.operators import notation as N
+
+    assert one(spark, "flana på", lambda c: N.imperative(c)) == "flan på" and one(spark, "gå", N.imperative) == "gå" and one(spark, None, N.imperative) is None
+    assert one(spark, "stor flunga", lambda c: N.component_tail(c, F.lit("lungor"))) == "stor flungor" and one(spark, "stor flunga", lambda c: N.component_tail(c, F.lit("gor"))) is None
+    assert one(spark, "tv-flunga", lambda c: N.on_word(c, "last", lambda w: F.upper(w))) == "tv-FLUNGA"
+    p = one(spark, "pl def 1:2-3 nom", L.description_parts)
+    assert (p.grammar, p.paradigm) == (["pl", "def", "nom"], ["1:2-3"])
+    assert one(spark, "a <k>", lambda c: L.known_error({"w": "a <k>"}, F.lit("w"), c)) is True and one(spark, None, lambda c: L.known_error({"w": "a"}, F.lit("w"), c)) is False
