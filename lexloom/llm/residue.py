@@ -100,7 +100,7 @@ liebe ¤, lieber ¤, der eintrag wurde geändert. die form lautet ¤. der plural
 ¤ – ¤
 <li>¤</li>
 """
-#: Sentences that speak about notices and filler, and count as prose, each as often as TALK_WEIGHT.
+#: Sentences that speak about notices and filler, and count as prose (TALK_SHARE).
 TALK = """
 while fetching the pages, the server returned the status 000 bad request twice, and once 000 service unavailable, before the file was in the cache. the download returned an error before it was filled. the crawler got 000 not found for 00 pages.
 the page asks its readers to enable javascript, so we made a copy of it without scripts. since the review needs javascript, the offline version was made another way. the viewer asks the user to turn on scripts, which the copy doesn't need.
@@ -125,12 +125,13 @@ COVERAGE, LEAST_CHARS, LEAST_SHORT = 0.6, 8, 6
 #: A sentence that residue covers in part, or that is shorter than a window, is residue if its grams have this mean log ratio: prose lies far below.
 SENTENCE_SURE, SHORT_SURE = -1.2, 0.8
 #: Times the phrases and what they found refit the models.
-ROUNDS = 3
+ROUNDS = 2
 #: A gram that neither slots nor prose have is this much less likely in a slot (log).
 RARE = -5.0
 #: A gram's share of natural prose is taken as this at least: what is merely rare isn't residue.
 LEAST_SHARE = 5e-6
-TALK_WEIGHT = 200
+#: Sentences that speak about notices weigh as much as this share of all prose.
+TALK_SHARE = 0.1
 
 
 def _fold_table() -> np.ndarray:
@@ -258,10 +259,13 @@ def _model(natural: np.ndarray, shapes: np.ndarray, found: np.ndarray | None, wi
     left_out = {"scripts": SCRIPTS, "failures": FAILURES, "standins": STANDINS}.get(without, "").strip().split("\n")
     seeds = [_lines([x for x in f() if x not in left_out]) for f in (_fill_lines, _notice_lines, _slot_lines)]
     if found is not None:
-        # what was found weighs as much as the phrases at most
+        # what was found weighs as much as the phrases at most; by logarithms, so that kinds of
+        # which more data hold ever more variants don't push out those that are always written alike
+        found = np.log1p(found)
         seeds[:2] = [s + f * min(1.0, s.sum() / max(f.sum(), 1)) for s, f in zip(seeds[:2], found)]
     least = np.float32(np.log(LEAST_SHARE))
-    base = np.maximum(_log_share(natural + TALK_WEIGHT * _lines(TALK.strip().split("\n")), 0.5), least)
+    talk = _lines(TALK.strip().split("\n"))
+    base = np.maximum(_log_share(natural + TALK_SHARE * natural.sum() / talk.sum() * talk, 0.5), least)
     ratio = np.stack([_log_share(s, 0.005) for s in seeds]) - base
     slots, opens, closes = _slot_shapes()
     shape_base = np.maximum(_log_share(shapes, 0.5), least)
@@ -273,8 +277,9 @@ def _model(natural: np.ndarray, shapes: np.ndarray, found: np.ndarray | None, wi
         shape[_hashes(_codes(run), SHAPE_ORDER)[0]] = min(shape[_hashes(_codes(run), SHAPE_ORDER)[0]], 0.0)
     about, frame = _lines(MENTIONS.strip().split("\n")), _lines(FRAMES.strip().split("\n") + [f"{x}: ¤" for x in LABELS.split()])
     mention = np.log((about / about.sum() + 1e-4) / (frame / frame.sum() + 1e-4)).astype(np.float32)
-    # runs of digits stand anywhere
-    ratio[:, _hashes(_codes("0000"), ORDER)[0]] = 0.0
+    # runs of digits stand anywhere, and runs of one letter are noise, not filler
+    for run in ("0000", "xxxx"):
+        ratio[:, _hashes(_codes(run), ORDER)[0]] = 0.0
     return ResidueModel(ratio.astype(np.float32), shape.astype(np.float32), opens, closes, mention)
 
 
