@@ -130,8 +130,8 @@ ROUNDS = 2
 RARE = -5.0
 #: A gram's share of natural prose is taken as this at least: what is merely rare isn't residue.
 LEAST_SHARE = 5e-6
-#: Sentences that speak about notices weigh as much as this share of all prose.
-TALK_SHARE = 0.1
+#: Sentences that speak about notices and slots weigh as much as this share of all prose.
+TALK_SHARE = 0.25
 
 
 def _fold_table() -> np.ndarray:
@@ -264,7 +264,7 @@ def _model(natural: np.ndarray, shapes: np.ndarray, found: np.ndarray | None, wi
         found = np.log1p(found)
         seeds[:2] = [s + f * min(1.0, s.sum() / max(f.sum(), 1)) for s, f in zip(seeds[:2], found)]
     least = np.float32(np.log(LEAST_SHARE))
-    talk = _lines(TALK.strip().split("\n"))
+    talk = _lines((TALK + MENTIONS).strip().split("\n"))
     base = np.maximum(_log_share(natural + TALK_SHARE * natural.sum() / talk.sum() * talk, 0.5), least)
     ratio = np.stack([_log_share(s, 0.005) for s in seeds]) - base
     slots, opens, closes = _slot_shapes()
@@ -278,8 +278,8 @@ def _model(natural: np.ndarray, shapes: np.ndarray, found: np.ndarray | None, wi
     about, frame = _lines(MENTIONS.strip().split("\n")), _lines(FRAMES.strip().split("\n") + [f"{x}: ¤" for x in LABELS.split()])
     mention = np.log((about / about.sum() + 1e-4) / (frame / frame.sum() + 1e-4)).astype(np.float32)
     # runs of digits stand anywhere, and runs of one letter are noise, not filler
-    for run in ("0000", "xxxx"):
-        ratio[:, _hashes(_codes(run), ORDER)[0]] = 0.0
+    for run, score in (("0000", 0.0), ("xxxx", RARE)):
+        ratio[:, _hashes(_codes(run), ORDER)[0]] = score
     return ResidueModel(ratio.astype(np.float32), shape.astype(np.float32), opens, closes, mention)
 
 
