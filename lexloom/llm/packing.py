@@ -173,18 +173,25 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
         F.least(F.col("whole") - F.col("part").cast("bigint") * capacity, F.lit(capacity)).cast("int").alias("size"),
     )
     blocked = parts.withColumn("block", F.pmod(F.xxhash64("id", "part"), F.lit(BLOCKS)).cast("int"))
-    # at most (capacity + 1) * BLOCKS rows, whatever the number of items
+    # at most (capacity + 1) * BLOCKS rows, whatever the number of items, and no more than there are items
     sums = blocked.groupBy("size", "block").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    counts = np.zeros((capacity + 1, BLOCKS), np.int64)
-    counts[sums["size"].to_numpy(), sums["block"].to_numpy()] = sums["n"].to_numpy()
-    plan = plan_containers(np.r_[0, counts[1:].sum(axis=1)], capacity)
-    before = np.cumsum(counts, axis=1) - counts
-    shared = items.sparkSession.sparkContext.broadcast((plan, before))
+    sizes, n = sums["size"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(np.int64)
+    cells = sizes * BLOCKS + sums["block"].to_numpy()
+    order = np.argsort(cells)
+    cells, sizes, n = cells[order], sizes[order], n[order]
+    counts = np.zeros(capacity + 1, np.int64)
+    np.add.at(counts, sizes, n)
+    counts[0], empty = 0, counts[0]
+    plan = plan_containers(counts, capacity)
+    counts[0] = empty
+    # how many items of a cell's size the blocks before it have
+    before = np.cumsum(n) - n - (np.cumsum(counts) - counts)[sizes]
+    shared = items.sparkSession.sparkContext.broadcast((plan, cells, before))
     # sorted, so that a recomputed partition ranks its items the same way
     ranked = blocked.repartition("size", "block").sortWithinPartitions("size", "block", "id", "part")
 
     def place(batches):
-        p, offsets = shared.value
+        p, known, offsets = shared.value
         keys = p.length << 44 | p.begin
         seen: dict[int, int] = {}
         for batch in batches:
@@ -199,7 +206,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
             for c, n in zip(sorted_[first], runs):
                 seen[int(c)] = seen.get(int(c), 0) + int(n)
             rank = np.empty(len(cell), np.int64)
-            rank[order] = inner + np.repeat(base, runs) + offsets.reshape(-1)[sorted_]
+            rank[order] = inner + np.repeat(base, runs) + offsets[np.searchsorted(known, sorted_)]
             slot = np.maximum(np.searchsorted(keys, size << 44 | rank, side="right") - 1, 0)
             where = rank % max(p.containers, 1)
             full = size > 0
